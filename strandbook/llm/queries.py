@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_duplicates, personal_data, quality_rules
+from . import mixing, near_duplicates, personal_data, piece_codec, quality_rules, token_counts
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -30,7 +30,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find(table(spark, sf_dir, "documents")).drop("row_key", "found")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_sentencepiece": op3_sentencepiece,
+    "op8_token_counts": op8_token_counts,
     "op9_mixing_to_weights": op9_mixing_to_weights,
     "op10_pii": op10_pii,
     "op4_quality_rules": op4_quality_rules,
