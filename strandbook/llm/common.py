@@ -9,6 +9,7 @@ import uuid
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Functions of this subpackage travel to the executors by value: a cluster need not have it installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.rpartition(".")[0]])
@@ -92,3 +93,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         labels = after.select("node", "label")
         if not moved:
             return labels
+
+
+def widened(df: DataFrame, **fields: T.DataType) -> T.StructType:
+    """df's schema with more fields at its end."""
+    return T.StructType([*df.schema.fields, *(T.StructField(k, v) for k, v in fields.items())])

@@ -12,8 +12,10 @@ import os
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import worker_memo
+from . import pieces
+from .common import widened, worker_memo
 
 
 def model_path() -> str:
@@ -26,8 +28,6 @@ def model_path() -> str:
 
 
 def _coder(model: str | None):
-    from . import pieces
-
     path = model or model_path()
     return worker_memo(f"best_score_{path}", lambda: pieces.BestScore(pieces.Vocabulary(path)))
 
@@ -49,7 +49,7 @@ def encode(docs: DataFrame, text_col: str = "text", model: str | None = None) ->
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, "piece_ids"])
 
     plain = docs.select(*(F.col(f"`{c}`") for c in columns))
-    return plain.mapInArrow(run, plain.schema.add("piece_ids", "array<int>"))
+    return plain.mapInArrow(run, widened(plain, piece_ids=T.ArrayType(T.IntegerType())))
 
 
 def decode(coded: DataFrame, ids_col: str = "piece_ids", out_col: str = "decoded", model: str | None = None) -> DataFrame:
@@ -65,7 +65,7 @@ def decode(coded: DataFrame, ids_col: str = "piece_ids", out_col: str = "decoded
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, out_col])
 
     plain = coded.select(*(F.col(f"`{c}`") for c in columns))
-    return plain.mapInArrow(run, plain.schema.add(out_col, "string"))
+    return plain.mapInArrow(run, widened(plain, **{out_col: T.StringType()}))
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:

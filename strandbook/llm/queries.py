@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, near_duplicates, personal_data, piece_codec, quality_rules, token_counts
+from . import mixing, near_duplicates, neighbours, personal_data, piece_codec, quality_rules, shards, token_counts, url_filters, warc_derivatives
+from .common import Scratch
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -38,7 +40,37 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+ARRIVALS = 16
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that arrive in ARRIVALS runs, compacted, and read again through the last manifest."""
+    docs = table(spark, sf_dir, "documents")
+    store = shards.ShardStore(spark, Scratch(spark).root)
+    store.append(docs, by=F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)))
+    store.compact(docs.schema)
+    rows = store.read(docs.schema)
+    return rows.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+
+
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc_derivatives.derive(warc_derivatives.responses_of(table(spark, sf_dir, "pages")))
+    return records.select("page_id", "type", "record_id", "refers_to", "target_uri", "payload_digest", "block_digest", "n_bytes", F.sha2("record", 256).alias("record_sha256"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
+    "op5_warc_derivatives": op5_warc_derivatives,
+    "op6_url_filters": op6_url_filters,
     "op3_sentencepiece": op3_sentencepiece,
     "op8_token_counts": op8_token_counts,
     "op9_mixing_to_weights": op9_mixing_to_weights,

@@ -5,8 +5,10 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import worker_memo
+from . import pieces
+from .common import widened, worker_memo
 from .piece_codec import model_path
 
 LIMIT = 4096
@@ -21,9 +23,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def run(batches):
-        from . import pieces
-
-        path = model or model_path()
+            path = model or model_path()
         counter = worker_memo(f"merge_count_{path}", lambda: pieces.MergeCount(pieces.Vocabulary(path)))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -33,5 +33,5 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     plain = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    out = plain.mapInArrow(run, plain.drop("text").schema.add("n_tokens", "long"))
+    out = plain.mapInArrow(run, widened(plain.drop("text"), n_tokens=T.LongType()))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
