@@ -1,4 +1,6 @@
 """All queries of the ledger library and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans.catalog import QUERIES
+from .plans.sql import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
