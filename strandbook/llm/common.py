@@ -38,6 +38,12 @@ def words_of(text: Column) -> Column:
     )
 
 
+def row_key(*columns: str) -> Column:
+    """A 64-bit key of a row's content, where an id may be null or repeated; equal rows have equal keys."""
+    parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c).cast("string"))]
+    return F.xxhash64(*parts)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)

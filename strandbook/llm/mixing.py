@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, checked_broadcast
+from .common import SPACE, Scratch, checked_broadcast, row_key
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3  # a source's target, and a document's copies, are at most so many times what is there
@@ -144,7 +144,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     Only one row per source (and a fixed number of bins each) reaches the driver.
     """
     scratch = Scratch(docs.sparkSession)
-    key = F.xxhash64(F.col(id_col).cast("string"), F.lit("|"), F.col(source_col).cast("string"), F.lit("|"), F.col(text_col).cast("string"))
+    key = row_key(id_col, source_col, text_col)
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("row_key"))
     sized = scratch.keep(sized.withColumn("u", F.pmod(F.xxhash64(F.col("row_key"), F.lit(1)), F.lit(BINS**LEVELS))), "sized")
     spark = docs.sparkSession
@@ -168,7 +168,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """docs with each row as many times as the mix takes it; columns stay."""
-    key = F.xxhash64(F.col(id_col).cast("string"), F.lit("|"), F.col(source_col).cast("string"), F.lit("|"), F.col(text_col).cast("string"))
+    key = row_key(id_col, source_col, text_col)
     copies = mix(docs, id_col, source_col, text_col).select(F.col("source").alias("__source"), F.col("row_key").alias("__key"), F.col("copies").alias("__copies")).dropDuplicates(["__key"])
     joined = docs.withColumn("__key", key).join(checked_broadcast(copies.filter("__copies > 0").select("__key", "__copies"), 24), "__key")
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__key", "__copies", "__copy")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, checked_broadcast
+from .common import SPACE, Scratch, checked_broadcast, row_key
 
 # The fixed patterns in possessive form: each scan is linear, and where a match may start is said by a
 # look-behind, so that leftmost matches are the same as those of the plain forms.
@@ -106,10 +106,6 @@ def instances(text: Column, base: Column) -> Column:
     return F.when(text.rlike("[0-9]"), found).otherwise(none)
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col).cast("string"), F.lit("|"), F.col(text_col).cast("string"))
-
-
 def learned_spans(found: DataFrame, scratch: Scratch) -> DataFrame:
     """(row_key, extra: sorted array of spans) for rows of (row_key, seen: array of instances), by bootstrapping.
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, words_of
+from .common import SPACE, Scratch, checked_broadcast, row_key, words_of
 
 WINDOW = 3
 SYMBOLS = "#*$%&|<>"
@@ -23,7 +23,7 @@ SYMBOLS = "#*$%&|<>"
 FEATURES = ("n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "mark_share")
 
 
-def with_measures(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the FEATURES; the text column is dropped.
 
     Words are runs without ASCII white space; null texts count as empty and give zeros. Repeated words are
@@ -67,7 +67,7 @@ def with_measures(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
         .withColumn("digit_share", share("__digits", "word_chars"))
         .withColumn("mark_share", share("__marks", "word_chars"))
     )
-    return df.drop(text_col, *(c for c in df.columns if c.startswith("__") and c not in keep))
+    return df.drop(text_col, *(c for c in df.columns if c.startswith("__")))
 
 
 @dataclass(frozen=True)
@@ -192,14 +192,14 @@ def base_failed() -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[Rule]]:
-    """(one row per row of docs: doc_id, the base measures, FEATURES, base_failed, rule, kept; the rules).
+    """(one row per row of docs: doc_id, row_key, the base measures, FEATURES, base_failed, rule, kept; the rules).
 
     Learns from labels(doc_id, quality 0/1) on the documents that pass the base rules, since only those
     reach the list. Labels that are null, or that differ for one doc_id, are left out; a label without a
     document as well. Null texts count as empty (and fail the base rules). Repeated rows are judged alike.
     """
     scratch = Scratch(docs.sparkSession)
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row_key"))
     measured = scratch.keep(with_measures(plain).withColumn("base_failed", base_failed()), "measured")
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).filter("low = high")
     labelled = measured.filter("not base_failed").join(known, "doc_id").select(*FEATURES, (F.col("low") > 0).alias("good"))
@@ -210,9 +210,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that ``judge`` keeps, with all their columns. The text is measured in place, so nothing is shuffled."""
-    _, rules = judge(docs, labels, id_col, text_col)
-    columns = docs.columns
-    inside = with_measures(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__row"), F.col(text_col).alias("text")), keep=("__row",))
-    judged = inside.filter(~base_failed() & (verdict(rules) == 0))
-    return judged.select(*(F.col("__row")[c].alias(c) for c in columns))
+    """The rows of docs that ``judge`` keeps, with all their columns."""
+    judged, _ = judge(docs, labels, id_col, text_col)
+    gone = judged.filter(~F.col("kept")).select(F.col("row_key").alias("__key")).distinct()
+    return docs.withColumn("__key", row_key(id_col, text_col)).join(checked_broadcast(gone, 16), "__key", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
