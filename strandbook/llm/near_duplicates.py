@@ -3,8 +3,9 @@
 Every set of word shingles is hashed into parts of the element domain; the number of parts follows from
 the size band and the threshold, so that two sets that reach the threshold agree on at least one part
 (enumerated subsets are the single parts: one level, subsets of size one). Sets that share a part's
-signature are candidates. Candidates pass two exact lower bounds of their difference (sizes, and the
-Hamming distance of 512 parity bits) and are then compared element by element.
+signature are candidates. Candidates pass exact lower bounds of their difference (sizes, the Hamming
+distance of 512 parity bits, then that of parity sketches of twice as many bits as elements, which are
+small beside the sets) and are then compared element by element.
 
 Copies with equal sets are one class from the start. Within a signature group, members are first compared
 with the group's hub only, the member that shares most with others; groups that then hold more than one
@@ -32,12 +33,13 @@ def _describe(width: int, num: int, den: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids, sizes, keys, parities, found = part.column(0), [], [], [], []
+                ids, sizes, keys, parities, fine, found = part.column(0), [], [], [], [], []
                 for text in part.column(1):
                     elements = sets.shingle_set(text.as_py(), width)
                     sizes.append(len(elements))
                     keys.append(sets.set_key(elements))
                     parities.append(sets.parity(elements, SKETCH_LONGS))
+                    fine.append(sets.fine_parity(elements))
                     found.append(sets.signatures(elements, bands))
                 ends = np.cumsum([0] + [len(x) for x in found]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -46,9 +48,10 @@ def _describe(width: int, num: int, den: int):
                         pa.array(sizes, pa.int64()),
                         pa.array(keys, pa.int64()),
                         *(pa.array(x) for x in np.array(parities).T.copy()),
+                        pa.array(fine, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found))),
                     ],
-                    names=["doc_id", "n", "key", *(f"p{i}" for i in range(SKETCH_LONGS)), "sigs"],
+                    names=["doc_id", "n", "key", *(f"p{i}" for i in range(SKETCH_LONGS)), "fine", "sigs"],
                 )
 
     return run
@@ -66,6 +69,16 @@ def _elements(width: int):
     return run
 
 
+def _bounded(num: int, den: int):
+    def run(batches):
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("a_n", "a_fine", "b_n", "b_fine"))
+            good = [sets.may_reach(*row, num, den) for row in zip(*columns)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
 def _verify(num: int, den: int):
     def run(batches):
         for batch in batches:
@@ -98,35 +111,43 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     scratch = Scratch(spark)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parities = [f"p{i}" for i in range(SKETCH_LONGS)]
-    schema = "doc_id long, n long, key long, " + ", ".join(f"{p} long" for p in parities) + ", sigs array<long>"
+    schema = "doc_id long, n long, key long, " + ", ".join(f"{p} long" for p in parities) + ", fine binary, sigs array<long>"
     described = scratch.keep(plain.mapInArrow(_describe(width, num, den), schema), "described")
 
     # Signature groups of two or more different sets, each with its number of members.
     by_sig = W.partitionBy("sig")
-    named = described.filter("n > 0 and doc_id is not null")
-    rows = named.select(F.explode("sigs").alias("sig"), "key")
+    rows = described.filter("n > 0 and doc_id is not null").select(F.explode("sigs").alias("sig"), "key")
     grouped = rows.withColumn("low", F.min("key").over(by_sig)).withColumn("high", F.max("key").over(by_sig)).withColumn("members", F.count("*").over(by_sig))
     groups = scratch.keep(grouped.filter("low < high").select("sig", "key", "members").distinct(), "groups")
+    slim = scratch.keep(described.drop("sigs"), "slim")
+    scratch.drop("described")
+    named = slim.filter("n > 0 and doc_id is not null")
     degrees = groups.groupBy("key").agg(F.sum("members").alias("degree"))
     facts = scratch.keep(
-        named.select("doc_id", "n", "key", *parities).join(checked_broadcast(degrees, 24), "key").groupBy("key").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ["n", *parities, "degree"])),
+        named.join(checked_broadcast(degrees, 24), "key").groupBy("key").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ["n", *parities, "fine", "degree"])),
         "facts",
     )
-    # One document of each set that has company gives the set's elements.
-    chosen = facts.select("doc_id").distinct()
-    elements = scratch.keep(
-        plain.join(checked_broadcast(chosen, 16), "doc_id", "left_semi").select("text").mapInArrow(_elements(width), "key long, elements binary").dropDuplicates(["key"]), "elements"
-    )
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs (a, b) that reach the threshold: first by their fine sketches, then element by element."""
+        told = lambda c: facts.select(F.col("key").alias(c), F.col("n").alias(f"{c}_n"), F.col("fine").alias(f"{c}_fine"))
+        near = pairs.select("a", "b").distinct().join(told("a"), "a").join(told("b"), "b")
+        near = scratch.keep(near.mapInArrow(_bounded(num, den), "a long, b long"), f"{name}-near")
+        # One document of each set that is left gives the set's elements.
+        keys = near.select(F.col("a").alias("key")).union(near.select("b")).distinct()
+        chosen = facts.join(keys, "key", "left_semi").select("doc_id").distinct()
+        elements = plain.join(checked_broadcast(chosen, 16), "doc_id", "left_semi").select("text").mapInArrow(_elements(width), "key long, elements binary")
+        elements = scratch.keep(elements, f"{name}-elements")
         one = elements.select(F.col("key").alias("a"), F.col("elements").alias("a_elements"))
         two = elements.select(F.col("key").alias("b"), F.col("elements").alias("b_elements"))
-        return scratch.keep(pairs.select("a", "b").distinct().join(one, "a").join(two, "b").mapInArrow(_verify(num, den), "a long, b long"), name)
+        links = scratch.keep(near.join(one, "a").join(two, "b").mapInArrow(_verify(num, den), "a long, b long"), name)
+        scratch.drop(f"{name}-elements")
+        return links
 
     def side(df: DataFrame, letter: str) -> DataFrame:
         return df.select("sig", *(F.col(c).alias(f"{letter}_{c}" if c != "key" else letter) for c in df.columns if c != "sig"))
 
-    members = scratch.keep(groups.select("sig", "key").join(facts.drop("doc_id"), "key"), "members")
+    members = scratch.keep(groups.select("sig", "key").join(facts.drop("doc_id", "fine"), "key"), "members")
     hub = F.max_by(F.struct("key", "n", *parities), F.struct("degree", "key")).over(by_sig)
     stars = members.withColumn("hub", hub).filter("key <> hub.key").select(
         F.col("hub.key").alias("a"), F.col("key").alias("b"), F.col("hub.n").alias("a_n"), F.col("n").alias("b_n"),
@@ -147,9 +168,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     linked = labels.withColumnRenamed("node", "key")
     lows = linked.join(classes, "key").groupBy("label").agg(F.min("low").alias("component_id"))
     of_key = classes.join(linked.join(lows, "label").select("key", "component_id"), "key", "left").select("key", F.coalesce("component_id", "low").alias("component_id"))
-    out = described.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("key")).join(of_key, "key", "left")
+    out = slim.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("key")).join(of_key, "key", "left")
     result = scratch.keep(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "result")
-    scratch.drop("described", "groups", "facts", "elements", "members", "mixed")
+    scratch.drop("slim", "groups", "facts", "members", "mixed")
     return result
 
 

@@ -48,6 +48,24 @@ def parity(elements: np.ndarray, longs: int) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def fine_parity(elements: np.ndarray) -> bytes:
+    """A parity sketch that grows with the set: the power of two of at least twice as many bits, 512 at least."""
+    longs = 8
+    while 64 * longs < 2 * len(elements):
+        longs *= 2
+    return parity(elements, longs).tobytes()
+
+
+def may_reach(a_size: int, a_fine: bytes, b_size: int, b_fine: bytes, num: int, den: int) -> bool:
+    """Exact bound from two fine sketches; the longer one is folded onto the shorter."""
+    a, b = np.frombuffer(a_fine, np.uint64), np.frombuffer(b_fine, np.uint64)
+    if len(a) > len(b):
+        a, b = b, a
+    folded = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    apart = int(np.bitwise_count(a ^ folded).sum())
+    return apart * (num + den) <= (a_size + b_size) * (den - num)
+
+
 class Bands:
     """Size bands and their partition counts for a Jaccard threshold of num/den.
 
