@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +46,9 @@ def encode(docs: DataFrame, text_col: str = "text", model: str | None = None) ->
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = pa.array([coder.encode(t.as_py()) for t in part.column(text_col)], pa.list_(pa.int32()))
+                found = [np.array(coder.encode(t.as_py()), np.int32) for t in part.column(text_col)]
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, "piece_ids"])
 
     plain = docs.select(*(F.col(f"`{c}`") for c in columns))

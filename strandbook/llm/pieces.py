@@ -36,6 +36,7 @@ class Vocabulary:
                 if SPACE_MARK in piece.lstrip(SPACE_MARK):
                     raise ValueError(f"{piece!r} spans a word start")
         self.is_byte = {i: b for b, i in enumerate(self.byte_ids)}
+        self.spelled = [bytes([self.is_byte[i]]) if i in self.is_byte else piece.encode() for i, piece in enumerate(self.pieces)]
         self.unknown = min(self.scores.values()) - 10.0
         self.segments = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
 
@@ -47,10 +48,7 @@ class Vocabulary:
 
     def decode(self, ids) -> str:
         """The text that ids spell; bytes that are not UTF-8 become U+FFFD."""
-        raw = bytearray()
-        for i in ids:
-            raw += bytes([self.is_byte[i]]) if i in self.is_byte else self.pieces[i].encode()
-        text = raw.decode("utf-8", "replace").replace(SPACE_MARK, " ")
+        text = b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE_MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -85,7 +83,8 @@ class BestScore:
 
     def segment(self, text: str) -> list[int]:
         n, known, unknown, merges = len(text), self.vocabulary.ids, self.vocabulary.unknown, self.merger
-        best = [0.0] + [float("-inf")] * n
+        none = float("-inf")
+        best = [0.0] + [none] * n
         back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
         done = 0  # positions up to here have their final score
         for end, (length, i, score) in [*self.automaton.iter(text), (n, (0, -1, 0.0))]:
@@ -94,7 +93,9 @@ class BestScore:
                 if text[done - 1] not in known and best[done - 1] + unknown > best[done]:
                     best[done], back[done] = best[done - 1] + unknown, (done - 1, -1)
             start = end + 1 - length
-            if i >= 0 and best[start] + score > best[end + 1] and (merges is None or self.apart(back[start][1], i)):
+            if i < 0 or best[start] == none or merges and best[end + 1] > none:
+                continue  # the end, an unreachable start, or the one merged path is found
+            if best[start] + score > best[end + 1] and (merges is None or self.apart(back[start][1], i)):
                 best[end + 1], back[end + 1] = best[start] + score, (start, i)
         out: list[int] = []
         while n:
