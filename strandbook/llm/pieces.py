@@ -6,6 +6,7 @@ import heapq
 import re
 
 SPACE_MARK = "▁"
+PAIRS = 1_000_000  # neighbouring pieces that it remembers
 MEMO = 300_000  # segments that one Python worker remembers before it starts anew
 
 
@@ -74,12 +75,11 @@ class BestScore:
 
     def apart(self, left: int, right: int) -> bool:
         """Whether merging leaves two neighbouring pieces as they are (left -1: none)."""
-        if (left, right) not in self.pairs:
-            if len(self.pairs) >= MEMO:
-                self.pairs.clear()
-            want = [self.vocabulary.pieces[i] for i in (left, right) if i >= 0]
-            self.pairs[left, right] = self.merger.merge("".join(want))[0] == want
-        return self.pairs[left, right]
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        want = [self.vocabulary.pieces[i] for i in (left, right) if i >= 0]
+        good = self.pairs[left << 20 | right] = self.merger.merge("".join(want))[0] == want
+        return good
 
     def segment(self, text: str) -> list[int]:
         n, known, unknown, merges = len(text), self.vocabulary.ids, self.vocabulary.unknown, self.merger
@@ -87,16 +87,28 @@ class BestScore:
         best = [0.0] + [none] * n
         back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
         done = 0  # positions up to here have their final score
-        for end, (length, i, score) in [*self.automaton.iter(text), (n, (0, -1, 0.0))]:
+        pairs = self.pairs
+        for end, (length, i, score) in self.automaton.iter(text):
+            after = end + 1
+            if merges and best[after] > none:
+                continue  # the one merged path to here is found
             while done < end:
                 done += 1
                 if text[done - 1] not in known and best[done - 1] + unknown > best[done]:
                     best[done], back[done] = best[done - 1] + unknown, (done - 1, -1)
-            start = end + 1 - length
-            if i < 0 or best[start] == none or merges and best[end + 1] > none:
-                continue  # the end, an unreachable start, or the one merged path is found
-            if best[start] + score > best[end + 1] and (merges is None or self.apart(back[start][1], i)):
-                best[end + 1], back[end + 1] = best[start] + score, (start, i)
+            start = after - length
+            total = best[start] + score
+            if total > best[after]:
+                if merges:
+                    left = back[start][1]
+                    good = pairs.get(left << 20 | i)
+                    if not (self.apart(left, i) if good is None else good):
+                        continue
+                best[after], back[after] = total, (start, i)
+        while done < n:
+            done += 1
+            if text[done - 1] not in known and best[done - 1] + unknown > best[done]:
+                best[done], back[done] = best[done - 1] + unknown, (done - 1, -1)
         out: list[int] = []
         while n:
             start, i = back[n]
