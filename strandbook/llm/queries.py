@@ -79,4 +79,4 @@ QUERIES = {
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_sharding": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents"}

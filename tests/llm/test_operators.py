@@ -224,3 +224,9 @@ def test_warc_records_are_linked(spark):
 
 def test_registered_names():
     assert [f"op{n}" for n in range(1, 11)] == sorted((q.split("_")[0] for q in queries.QUERIES), key=lambda x: int(x[2:]))
+
+
+def test_compacted_documents_equal_sql(spark):
+    from compare import connect, differences
+
+    assert differences(queries.op1_sharding(spark, DIR), connect(DIR), queries.ORACLES["op1_sharding"]) is None
