@@ -46,7 +46,7 @@ def encode(docs: DataFrame, text_col: str = "text", model: str | None = None) ->
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [np.array(coder.encode(t.as_py()), np.int32) for t in part.column(text_col)]
+                found = [np.frombuffer(coder.encode(t.as_py()), np.int32) for t in part.column(text_col)]
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, "piece_ids"])
@@ -75,11 +75,11 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, n_pieces, n_bytes_spelled, ids_sha256 (of the ids, comma-joined) and whether decoding gives the text back."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     both = decode(encode(plain, model=model), model=model)
-    same = F.coalesce(F.col("decoded"), F.lit("")) == F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "▁", " ")
+    same = F.coalesce(F.col("decoded"), F.lit("")) == F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("▁"), F.lit(" "))
     return both.select(
         "doc_id",
         F.size("piece_ids").cast("long").alias("n_pieces"),
         F.size(F.filter("piece_ids", lambda i: (i >= 3) & (i < 259))).cast("long").alias("n_bytes_spelled"),
-        F.sha2(F.array_join(F.transform("piece_ids", lambda i: i.cast("string")), ","), 256).alias("ids_sha256"),
+        F.sha2(F.array_join(F.col("piece_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         same.alias("round_trip"),
     )

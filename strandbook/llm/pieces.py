@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 
 SPACE_MARK = "▁"
 PAIRS = 1_000_000  # neighbouring pieces that it remembers
@@ -68,6 +69,7 @@ class BestScore:
 
         self.vocabulary, self.memo, self.pairs = vocabulary, {}, {}
         self.merger = MergeCount(vocabulary) if vocabulary.by_merges else None
+        self.letters = {piece for piece in vocabulary.ids if len(piece) == 1}
         self.automaton = ahocorasick.Automaton()
         for piece, i in vocabulary.ids.items():
             self.automaton.add_word(piece, (len(piece), i, vocabulary.scores[piece]))
@@ -82,6 +84,8 @@ class BestScore:
         return good
 
     def segment(self, text: str) -> list[int]:
+        if self.merger and self.letters.issuperset(text):
+            return self.merged(text)
         n, known, unknown, merges = len(text), self.vocabulary.ids, self.vocabulary.unknown, self.merger
         none = float("-inf")
         best = [0.0] + [none] * n
@@ -116,16 +120,32 @@ class BestScore:
             n = start
         return out[::-1]
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
+    def merged(self, text: str) -> list[int]:
+        """``segment`` for merge ranks where every character is a piece: one path reaches each position, so none is weighed."""
+        pairs, apart = self.pairs, self.apart
+        last = [-1] + [None] * len(text)  # the piece that ends here on the one path
+        for end, (length, i, _) in self.automaton.iter(text):
+            if last[end + 1] is None:
+                left = last[end + 1 - length]
+                good = pairs.get(left << 20 | i)
+                if apart(left, i) if good is None else good:
+                    last[end + 1] = i
+        out, at, pieces = [], len(text), self.vocabulary.pieces
+        while at:
+            out.append(last[at])
+            at -= len(pieces[last[at]])
+        return out[::-1]
+
+    def encode(self, text: str | None) -> array:
+        out, memo = array("i"), self.memo
         for s in self.vocabulary.split(text or ""):
-            ids = self.memo.get(s)
+            ids = memo.get(s)
             if ids is None:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                ids = self.segment(s)
+                if len(memo) >= MEMO:
+                    memo.clear()
+                ids = array("i", self.segment(s))
                 if len(s) <= 64:
-                    self.memo[s] = ids
+                    memo[s] = ids
             out += ids
         return out
 
