@@ -34,6 +34,11 @@ def _digits(word: Column, start: int, length: int) -> Column:
     return F.conv(F.hex(F.substring(word, start, length)), 16, 10).cast("decimal(38,0)")
 
 
+def _whole(a: Column, b: Column) -> Column:
+    """a // b of non-negative decimals; dividing only multiples of b keeps rounding out."""
+    return ((a - a % b).cast("decimal(38,0)") / b).cast("decimal(38,0)")
+
+
 def limbs_of_word(word: Column) -> Column:
     """A big-endian 32-byte word as limbs: four-byte digits are folded in one after another."""
     zero = F.lit(0).cast("decimal(38,0)")
@@ -48,10 +53,10 @@ def limbs_of_word(word: Column) -> Column:
             limb = acc[n].cast("decimal(38,0)")
             low = (limb % half).cast("decimal(38,0)") * factor + carry
             low = low.cast("decimal(38,0)")
-            high = (F.floor(limb / half).cast("decimal(38,0)") * factor).cast("decimal(38,0)") + F.floor(low / half).cast("decimal(38,0)")
+            high = (_whole(limb, half) * factor).cast("decimal(38,0)") + _whole(low, half)
             high = high.cast("decimal(38,0)")
             out.append(((high % half) * half + low % half).cast("decimal(38,0)").alias(n))
-            carry = F.floor(high / half).cast("decimal(38,0)")
+            carry = _whole(high, half)
         return F.struct(*out)
 
     return F.aggregate(digits, start, fold)
@@ -64,10 +69,10 @@ def add_limbs(columns: Column) -> list[Column]:
 
 def carry(l0: Column, l1: Column, l2: Column) -> Column:
     """Limbs after carrying, saturated at 2**256 - 1."""
-    base = F.lit(BASE).cast("decimal(38,0)")
-    over0 = F.floor(l0 / base).cast("decimal(38,0)")
+    base = F.lit(str(BASE)).cast("decimal(38,0)")
+    over0 = _whole(l0, base)
     m1 = (l1 + over0).cast("decimal(38,0)")
-    over1 = F.floor(m1 / base).cast("decimal(38,0)")
+    over1 = _whole(m1, base)
     m2 = (l2 + over1).cast("decimal(38,0)")
     limbs = [(l0 % base).cast("decimal(38,0)"), (m1 % base).cast("decimal(38,0)"), m2]
     return as_text(*limbs)
