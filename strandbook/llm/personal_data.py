@@ -1,7 +1,7 @@
 """Personal data: fixed patterns as seeds, and bootstrapped contextual extraction, in DataFrame functions only.
 
 Seeds are the matches of four fixed patterns. Every identifier-like token (three digits or more, or an @
-between characters) is an instance; the words before and after it are its lexical patterns. Spark scores
+between other characters) is an instance; the words before and after it are its lexical patterns. Spark scores
 the graph of patterns and instances in rounds: a pattern is worth the share of its instances that are
 believed, an instance is believed as far as its patterns are reliable (noisy or). Instances that base
 matches cover are believed from the start. Tokens which reliable patterns surround are added as spans of
@@ -26,8 +26,11 @@ PATTERNS = {
 }
 KINDS = tuple(PATTERNS)
 OTHER = "other"
-#: A token with three digits or more: an instance that contexts may speak for.
-INSTANCE = rf"(?<![^{SPACE}])[^0-9{SPACE}]*+[0-9][^0-9{SPACE}]*+[0-9][^0-9{SPACE}]*+[0-9][^{SPACE}]*+"
+#: A token with three digits or more, or with an @ between other characters: an instance that contexts may speak for.
+INSTANCE = (
+    rf"(?<![^{SPACE}])(?:[^0-9{SPACE}]*+[0-9][^0-9{SPACE}]*+[0-9][^0-9{SPACE}]*+[0-9][^{SPACE}]*+"
+    rf"|@*+[^@{SPACE}]++@++[^@{SPACE}][^{SPACE}]*+)"
+)
 
 ROUNDS = 3
 LEAST_SUPPORT = 5  # different believed instances that a pattern needs
@@ -103,7 +106,7 @@ def instances(text: Column, base: Column) -> Column:
             F.exists(base, lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"])).alias("seed"),
         ),
     )
-    return F.when(text.rlike("[0-9]"), found).otherwise(none)
+    return F.when(text.rlike("[0-9@]"), found).otherwise(none)
 
 
 def learned_spans(found: DataFrame, scratch: Scratch) -> DataFrame:
