@@ -6,7 +6,7 @@ byte for places that read it and one for places that a wildcard lets stay. A ste
 A batch of URLs is stepped together, one array operation per place and word.
 
 Canonical form: ``.host`` with A-Z lower-cased, a zero byte, and the path up to ``?`` or ``#``. In rules,
-``*`` stands for any run without the zero byte.
+``*`` stands for any run without the zero byte; in the extra globs for any run, so that they search host and path.
 """
 
 from __future__ import annotations
@@ -36,11 +36,12 @@ class Glob:
     verdict: str
     rule: str | None
     rank: tuple
+    across: bool = False  # whether * passes from the host to the path
 
 
 def compiled_rules(rules=RULES, globs=GLOBS) -> list[Glob]:
     """Globs in rising precedence: extra globs first, then rules, the longest last (ties: the longer host, then text)."""
-    out = [Glob(g, v, None, (0, 0, 0, g)) for v, g in globs]
+    out = [Glob(g, v, None, (0, 0, 0, g), True) for v, g in globs]
     for verdict, rule in rules:
         host, slash, rest = rule.partition("/")
         out.append(Glob(f"*.{host.translate(str.maketrans(UPPER, LOWER))}\0{slash}{rest}", verdict, rule, (1, len(rule), len(host), rule)))
@@ -48,19 +49,19 @@ def compiled_rules(rules=RULES, globs=GLOBS) -> list[Glob]:
 
 
 class ShiftAnd:
-    """The packed automaton of several globs."""
+    """The packed automaton of several globs; ``across`` says of each whether its * passes the zero byte (none by default)."""
 
-    def __init__(self, globs: list[str]):
-        places: list[tuple[int, bool]] = []  # (byte to read to get here or -1, may stay)
+    def __init__(self, globs: list[str], across: list[bool] | None = None):
+        places: list[tuple[int, int]] = []  # (byte to read to get here or -1, least byte that lets stay)
         self.finals, starts = [], []
-        for glob in globs:
+        for glob, least in zip(globs, [0 if a else 1 for a in across or [False] * len(globs)]):
             starts.append(len(places))
-            places.append((-1, False))
+            places.append((-1, 256))
             for byte in glob.encode("utf-8"):
                 if byte == ord("*"):
-                    places[-1] = (places[-1][0], True)
+                    places[-1] = (places[-1][0], least)
                 else:
-                    places.append((byte, False))
+                    places.append((byte, 256))
             self.finals.append(len(places) - 1)
         self.words = max(1, -(-len(places) // 64))
         self.read = np.zeros((256, self.words), np.uint64)
@@ -72,8 +73,7 @@ class ShiftAnd:
         for p, (byte, stays) in enumerate(places):
             if byte >= 0:
                 self.read[byte, p // 64] |= bit(p)
-            if stays:
-                self.stay[1:, p // 64] |= bit(p)
+            self.stay[stays:, p // 64] |= bit(p)
         for p in self.finals:  # once reached, a final place is kept to the end
             self.stay[:, p // 64] |= bit(p)
 
@@ -108,13 +108,13 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     """One row per row of pages: page_id, host, path, rule (the longest that fits, else null), verdict.
 
     A rule ``host/path`` fits its host and all subdomains if the path starts with the rule's. Where none
-    fits, the globs decide, then the default. Null URLs and those without :// have empty host and path and
+    fits, the globs decide by host and path, then the default. Null URLs and those without :// have empty host and path and
     fit no rule. Zero bytes in URLs read as U+FFFD. Repeated rows are judged alike; other columns are not read.
     """
     table = compiled_rules(rules, globs)
 
     def run(batches):
-        automaton = ShiftAnd([g.glob for g in table])
+        automaton = ShiftAnd([g.glob for g in table], [g.across for g in table])
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)

@@ -1,6 +1,6 @@
 """One small test for each finding of the first review: the whole job, where less was done before."""
 
-from strandbook.llm import personal_data
+from strandbook.llm import personal_data, url_filters
 
 
 def test_email_seeds_discover_tokens_with_an_at_sign(spark):
@@ -11,3 +11,9 @@ def test_email_seeds_discover_tokens_with_an_at_sign(spark):
     assert found[0] == "email:16:38"
     assert found[100] == "other:16:30" and found[101] == "other:16:30"
     assert found[102] == found[103] == found[104] == ""
+
+
+def test_globs_search_the_path(spark):
+    urls = ["http://x.net/casino/", "http://x.net/a/cheap-pills.html", "http://x.net/ca/sino", "http://spam.net/", "http://x.net/?casino", "http://x.com/fr/casino", "http://cas.net/ino", "http://x.net/a.org/"]
+    got = [(r["rule"], r["verdict"]) for r in url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()]
+    assert got == [(None, "block"), (None, "block"), (None, "allow"), (None, "block"), (None, "allow"), ("com/fr/", "allow"), (None, "allow"), (None, "allow")]
