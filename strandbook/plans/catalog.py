@@ -45,6 +45,10 @@ def _reorg(x: Ledger) -> DataFrame:
     return fold.snapshot(fold.refold(surviving, affected)).select(*SNAPSHOT)
 
 
+def _entity_histories(x: Ledger) -> DataFrame:
+    return x.history.orderBy("entity_key", *fold.POSITION).select("entity_key", "tx_hash", "operation", "status", "owner", "expires_at_block")
+
+
 def _first_entity(x: Ledger) -> DataFrame:
     first = x.ops.agg(F.min("entity_key").alias("entity_key"))
     return fold.history(x.ops.join(F.broadcast(first), "entity_key", "left_semi")).select("entity_key", "tx_hash", "operation", "status", "owner", "expires_at_block")
@@ -111,6 +115,7 @@ FORMS = {
     "count_entities": lambda x: lookups.list_entities(x.entities, status="active", owner="src1").agg(F.count("*").alias("n")),
     "list_operations_page": _operations_page,
     "count_operations_by_type": lambda x: lookups.count_by_type(x.ops),
+    "entity_histories": _entity_histories,
     "entity_history": _first_entity,
     "history_before": lambda x: lookups.neighbours_in_history(x.ops),
     "latest_operation": lambda x: lookups.latest_operation(x.ops),

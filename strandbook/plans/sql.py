@@ -113,6 +113,7 @@ ORACLES = {
     "count_entities": query("SELECT count(*) AS n FROM ent WHERE status = 'active' AND owner = 'src1'", ENT),
     "list_operations_page": query("SELECT o.entity_key, o.tx_hash, o.operation, o.block_number, b.block_seconds, o.block_number + coalesce(btl, 0) AS expires_at_block, (SELECT count(*) FROM ops) AS total_items, CAST(ceil((SELECT count(*) FROM ops) / 100) AS BIGINT) AS total_pages FROM ops o JOIN blocks b USING (block_number) ORDER BY block_number, tx_hash LIMIT 100 OFFSET 100", OPS, BLOCKS),
     "count_operations_by_type": query(f"SELECT {KINDS} FROM ops", OPS),
+    "entity_histories": query("SELECT entity_key, tx_hash, operation, status, owner, expires_at_block FROM hist", *FOLD),
     "entity_history": query("SELECT entity_key, tx_hash, operation, status, owner, expires_at_block FROM hist WHERE entity_key = (SELECT min(user_id) FROM events)", *FOLD),
     "history_before": query("SELECT n.entity_key, n.tx_hash, b.tx_hash AS before_tx, a.tx_hash AS after_tx FROM nth n LEFT JOIN nth b ON b.entity_key = n.entity_key AND b.rn = n.rn - 1 LEFT JOIN nth a ON a.entity_key = n.entity_key AND a.rn = n.rn + 1", *FOLD),
     "latest_operation": query("SELECT entity_key, operation, tx_hash, block_number FROM nth n WHERE rn = (SELECT max(rn) FROM nth m WHERE m.entity_key = n.entity_key)", *FOLD),
