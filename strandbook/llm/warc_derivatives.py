@@ -1,8 +1,8 @@
 """WARC derivatives: linked metadata and plain-text conversion records from responses, in DataFrame functions.
 
 Every response gives two records that refer to it: a ``conversion`` record with the text of its HTML body and
-a ``metadata`` record with facts about it (title, language, outlinks, length). Both keep the target URI,
-date and further headers of the source, and carry digests of their own block.
+a ``metadata`` record with facts about it (title, language, outlinks, length) and the source's HTTP headers, line
+by line. Both keep the target URI and date of the source, and carry digests of their own block.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ HEX32, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ2
 SOFTWARE = "strandbook derivative builder"
 # The named character references that are resolved besides numbers, and what they stand for.
 ENTITIES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("ndash", "–"), ("mdash", "—"), ("hellip", "…"), ("amp", "&"))
+# Script and style end at their own end tag, whatever follows its name, or else with the page.
+RAW = r"<(?<raw>script|style)(?=[\s/>]).*?(?:</\k<raw>(?=[\s/>])[^>]*+(?:>|\z)|\z)"
 BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tr|ul|title"
 
 
@@ -32,9 +34,12 @@ def record_id(*parts: Column) -> Column:
 
 
 def plain_text(html: Column) -> Column:
-    """Text of an HTML body: without comments, scripts, styles and tags; blocks end lines; references resolved once."""
-    t = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")
-    t = F.regexp_replace(t, r"(?is)<(script|style|noscript|template)\b.*?(?:</\1\s*+>|\z)", " ")
+    """Text of an HTML body: without comments, scripts, styles and tags; blocks end lines; references resolved once.
+
+    What noscript and template hold is text. Only comments, scripts and styles that are not closed reach to the end.
+    """
+    t = F.regexp_replace(html, rf"(?is)({RAW})|<!--.*?(?:-->|\z)", "$1")  # a comment mark in a script is no comment
+    t = F.regexp_replace(t, rf"(?is){RAW}", " ")
     t = F.regexp_replace(t, rf"(?i)</?(?:{BLOCKS})\b[^>]*+>?", "\n")
     t = F.regexp_replace(t, r"<[!/?A-Za-z][^>]*+>?", "")
     for name, char in ENTITIES:
@@ -72,9 +77,11 @@ def derive(responses: DataFrame) -> DataFrame:
     title = F.regexp_extract("body", r"(?is)<title[^>]*+>(.*?)</title", 1)
     language = F.regexp_extract("body", r"(?i)<html\b[^>]*?\blang=[\"']?([A-Za-z\-]++)", 1)
     links = F.size(F.regexp_extract_all("body", F.lit(r"(?i)<a\b[^>]*?\bhref="), F.lit(0)))
+    sent = F.regexp_replace("http_headers", r"[\r\n]++\z", "")
+    sent = F.when(sent != "", F.concat(F.lit("source-http: "), F.array_join(F.split(sent, r"\r\n|\r|\n"), "\r\nsource-http: "), F.lit("\r\n"))).otherwise("")
     facts = F.concat(
         F.lit("title: "), F.regexp_replace(title, r"\s++", " "), F.lit("\r\nlanguage: "), language, F.lit("\r\noutlinks: "), links.cast("string"),
-        F.lit("\r\nsource-content-type: "), F.col("content_type"), F.lit("\r\nsource-payload-bytes: "), F.octet_length("body").cast("string"), F.lit("\r\n"),
+        F.lit("\r\nsource-content-type: "), F.col("content_type"), F.lit("\r\nsource-payload-bytes: "), F.octet_length("body").cast("string"), F.lit("\r\n"), sent,
     )
     made = df.select(
         "page_id", "record_id", "target_uri", "date", "http_headers", digest(F.col("body")).alias("payload_digest"),

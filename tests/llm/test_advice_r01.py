@@ -1,6 +1,6 @@
 """One small test for each finding of the first review: the whole job, where less was done before."""
 
-from strandbook.llm import personal_data, url_filters
+from strandbook.llm import personal_data, url_filters, warc_derivatives
 
 
 def test_email_seeds_discover_tokens_with_an_at_sign(spark):
@@ -17,3 +17,15 @@ def test_globs_search_the_path(spark):
     urls = ["http://x.net/casino/", "http://x.net/a/cheap-pills.html", "http://x.net/ca/sino", "http://spam.net/", "http://x.net/?casino", "http://x.com/fr/casino", "http://cas.net/ino", "http://x.net/a.org/"]
     got = [(r["rule"], r["verdict"]) for r in url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()]
     assert got == [(None, "block"), (None, "block"), (None, "allow"), (None, "block"), (None, "allow"), ("com/fr/", "allow"), (None, "allow"), (None, "allow")]
+
+
+def test_conversions_lose_no_text_and_metadata_keep_headers(spark):
+    pages = [
+        ("a<noscript>b</noscript> <template>c", "ab c"), ("a<script>x</script y> b", "a b"), ("a<script>'<!--'</SCRIPT\n>b", "a b"), ("a<!-- <script> -->b", "ab"),
+        ("a<style-guide>b", "ab"), ("a<style>b</script>c", "a"), ("a<script>b</scripts>c</script>d", "a d"), ("a<!-- b", "a"),
+    ]
+    responses = warc_derivatives.responses_of(spark.createDataFrame([(i, "http://a/", html) for i, (html, _) in enumerate(pages)], "page_id long, url string, html string"))
+    rows = {(r["page_id"], r["type"]): r for r in warc_derivatives.derive(responses).collect()}
+    assert [rows[i, "conversion"]["block"] for i in range(len(pages))] == [text for _, text in pages]
+    sent = f"source-http: HTTP/1.1 200 OK\r\nsource-http: Content-Type: text/html; charset=utf-8\r\nsource-http: Content-Length: {len(pages[0][0])}\r\n"
+    assert rows[0, "metadata"]["block"].endswith("\r\n" + sent) and sent in rows[0, "metadata"]["record"]
