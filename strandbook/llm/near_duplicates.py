@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import shingle_sets as sets
-from .common import Scratch, checked_broadcast, components
+from .common import Scratch, checked_broadcast, components, row_key
 
 SKETCH_LONGS = 8
 
@@ -50,8 +50,9 @@ def _describe(width: int, num: int, den: int):
                         *(pa.array(x) for x in np.array(parities).T.copy()),
                         pa.array(fine, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found))),
+                        *part.columns[2:],
                     ],
-                    names=["doc_id", "n", "key", *(f"p{i}" for i in range(SKETCH_LONGS)), "fine", "sigs"],
+                    names=["doc_id", "n", "key", *(f"p{i}" for i in range(SKETCH_LONGS)), "fine", "sigs", *part.schema.names[2:]],
                 )
 
     return run
@@ -107,11 +108,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     rows stay, each with the same component. A row without doc_id links with nothing; it gets the component
     of documents with an equal set, else null. No rows: no rows. Other columns are not read.
     """
+    return _components(docs, width, num, den, id_col, text_col)
+
+
+def _components(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str, keyed: bool = False) -> DataFrame:
+    """As ``jaccard_components``; if keyed, with row_key and component, the key of one set of the component (null: no words)."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    keys = [row_key(id_col, text_col).alias("row_key")] if keyed else []
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keys)
     parities = [f"p{i}" for i in range(SKETCH_LONGS)]
-    schema = "doc_id long, n long, key long, " + ", ".join(f"{p} long" for p in parities) + ", fine binary, sigs array<long>"
+    schema = "doc_id long, n long, key long, " + ", ".join(f"{p} long" for p in parities) + ", fine binary, sigs array<long>" + (", row_key long" if keyed else "")
     described = scratch.keep(plain.mapInArrow(_describe(width, num, den), schema), "described")
 
     # Signature groups of two or more different sets, each with its number of members.
@@ -167,20 +174,24 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     classes = named.groupBy("key").agg(F.min("doc_id").alias("low"))
     linked = labels.withColumnRenamed("node", "key")
     lows = linked.join(classes, "key").groupBy("label").agg(F.min("low").alias("component_id"))
-    of_key = classes.join(linked.join(lows, "label").select("key", "component_id"), "key", "left").select("key", F.coalesce("component_id", "low").alias("component_id"))
-    out = slim.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("key")).join(of_key, "key", "left")
-    result = scratch.keep(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "result")
+    of_key = classes.join(linked.join(lows, "label").select("key", "label", "component_id"), "key", "left").select("key", F.coalesce("component_id", "low").alias("component_id"), F.coalesce("label", "key").alias("component"))
+    out = slim.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("key"), *(["row_key"] if keyed else [])).join(of_key, "key", "left")
+    result = scratch.keep(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *(["row_key", "component"] if keyed else [])), "result")
     scratch.drop("slim", "groups", "facts", "members", "mixed")
     return result
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose doc_id names their component, with all columns.
+    """One row of docs per component, the first by doc_id and row_key, with all columns.
 
-    Documents without words stay, and so do rows without doc_id. Of rows that repeat a doc_id, one stays.
+    Documents without words stay, and so do rows without doc_id. Of rows that repeat a doc_id with its text,
+    one stays; different texts of one doc_id are judged apart.
     """
-    found = jaccard_components(docs, width, num, den, id_col, text_col)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(checked_broadcast(gone, 16), id_col, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
-    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull())) if repeated else kept
+    found = _components(docs, width, num, den, id_col, text_col, keyed=True).filter("doc_id is not null")
+    worded = found.filter("n_shingles > 0")
+    first = worded.groupBy("component").agg(F.min(F.struct("doc_id", "row_key")).alias("first")).select("first.row_key")
+    gone = worded.select("row_key").distinct().join(first, "row_key", "left_anti").withColumnRenamed("row_key", "__key")
+    kept = docs.withColumn("__key", row_key(id_col, text_col)).join(checked_broadcast(gone, 16), "__key", "left_anti")
+    if found.groupBy("row_key").count().filter("count > 1").limit(1).count():
+        kept = kept.filter(F.col(id_col).isNotNull()).dropDuplicates(["__key"]).unionByName(kept.filter(F.col(id_col).isNull()))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

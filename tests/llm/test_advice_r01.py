@@ -1,6 +1,6 @@
 """One small test for each finding of the first review: the whole job, where less was done before."""
 
-from strandbook.llm import personal_data, url_filters, warc_derivatives
+from strandbook.llm import near_duplicates, personal_data, url_filters, warc_derivatives
 
 
 def test_email_seeds_discover_tokens_with_an_at_sign(spark):
@@ -29,3 +29,11 @@ def test_conversions_lose_no_text_and_metadata_keep_headers(spark):
     assert [rows[i, "conversion"]["block"] for i in range(len(pages))] == [text for _, text in pages]
     sent = f"source-http: HTTP/1.1 200 OK\r\nsource-http: Content-Type: text/html; charset=utf-8\r\nsource-http: Content-Length: {len(pages[0][0])}\r\n"
     assert rows[0, "metadata"]["block"].endswith("\r\n" + sent) and sent in rows[0, "metadata"]["record"]
+
+
+def test_repeated_ids_lose_no_clean_text(spark):
+    one, two, other = (" ".join(f"{letter}{i}" for i in range(60)) for letter in "abc")
+    near = one + " more"
+    rows = [(1, one), (2, near), (2, two), (3, other), (3, two), (3, ""), (3, ""), (None, one)]
+    kept = near_duplicates.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(0, one), (1, one), (2, two), (3, other), (3, "")])
