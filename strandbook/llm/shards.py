@@ -3,8 +3,9 @@
 A store is a folder: data/ holds the shards of each run, manifests/ one table of files per version, commits/
 one small file per version that names its manifest. Arrivals are appended as runs of small shards. Whenever
 a size tier holds FANOUT files or more, they are merged into files of the target size, which belong to
-a higher tier. A commit creates its version's file only if nobody else has: readers see a whole version or
-the one before, and a job that dies leaves files that no manifest names.
+a higher tier. A commit renames a whole file to its version's name only if nobody else has: readers see a
+whole version or the one before, and a job that dies leaves files that no manifest names. Every version
+can be read until vacuum() forgets it.
 """
 
 from __future__ import annotations
@@ -37,30 +38,44 @@ class ShardStore:
         folder = self._path(f"{self.root}/commits")
         if not self._fs.exists(folder):
             return 0
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return max((int(n) for n in names if n.isdigit()), default=0)
+        return max(self._versions(), default=0)
+
+    def _versions(self) -> list[int]:
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/commits"))]
+        return sorted(int(n) for n in names if n.isdigit())
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """path, bytes, rows, tier of the files of a version (the last by default)."""
         v = self.version() if version is None else version
         if not v:
             return self.spark.createDataFrame([], MANIFEST)
-        stream = self._fs.open(self._path(f"{self.root}/commits/{v:012d}"))
+        return self.spark.read.schema(MANIFEST).parquet(self._named(v))
+
+    def _named(self, version: int) -> str:
+        """The manifest that a version's commit names."""
+        stream = self._fs.open(self._path(f"{self.root}/commits/{version:012d}"))
         try:
-            name = stream.readUTF()
+            return f"{self.root}/manifests/{stream.readUTF()}"
         finally:
             stream.close()
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/{name}")
 
     def _commit(self, files: DataFrame, after: int) -> int:
         """Write a manifest and make it version after + 1, or fail if another writer has made that version."""
         name = uuid.uuid4().hex
         files.coalesce(1).write.parquet(f"{self.root}/manifests/{name}")
-        stream = self._fs.create(self._path(f"{self.root}/commits/{after + 1:012d}"), False)
+        whole, final = self._path(f"{self.root}/commits/_{name}"), self._path(f"{self.root}/commits/{after + 1:012d}")
+        stream = self._fs.create(whole, False)
         try:
             stream.writeUTF(name)
         finally:
             stream.close()
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        none = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)  # no overwriting
+        try:
+            hadoop.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration()).rename(whole, final, none)
+        except Exception:
+            self._fs.delete(whole, False)
+            raise
         return after + 1
 
     def _described(self, path: str, schema) -> DataFrame:
@@ -103,19 +118,25 @@ class ShardStore:
             # A merge always rises, so that compaction ends even where files shrink.
             new = new.withColumn("tier", F.greatest("tier", F.lit(full[0]["tier"] + 1)))
             self._commit(kept.unionByName(new), before)
-            for folder in {p.rsplit("/", 1)[0] for p in paths}:
-                self._vacuum(folder, paths)
-
-    def _vacuum(self, folder: str, gone: list[str]) -> None:
-        """Delete merged shards; readers of older versions must have ended."""
-        for p in gone:
-            if p.rsplit("/", 1)[0] == folder:
-                self._fs.delete(self._path(p), False)
 
-    def read(self, schema, version: int | None = None) -> DataFrame:
-        """Rows of a version, with the shard's file, bytes and tier as __shard (struct)."""
+    def vacuum(self, keep: int = 1) -> None:
+        """Forget all versions but the last ``keep`` (at least one), with the shards that only they name; their readers must have ended."""
+        known = self._versions() if self.version() else []
+        old, kept = ([self._named(v) for v in part] for part in (known[: -max(1, keep)], known[-max(1, keep) :]))
+        if not old:
+            return
+        paths = lambda names: self.spark.read.schema(MANIFEST).parquet(*names).select("path").distinct()
+        gone = [r["path"] for r in paths(old).join(paths(kept), "path", "left_anti").collect()]  # names of files, no data
+        for p in [*(f"{self.root}/commits/{v:012d}" for v in known[: len(old)]), *old, *gone]:
+            self._fs.delete(self._path(p), True)
+
+    def read(self, schema, version: int | None = None, shard: bool = False) -> DataFrame:
+        """Rows of a version; if asked, with the shard's path, bytes and tier as __shard (struct)."""
         files = self.manifest(version)
+        told = files.select("path", F.struct("path", "bytes", "tier").alias("__shard"))
         paths = [r["path"] for r in files.select("path").collect()]  # names of files, no data
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths)
+        rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        if not shard:
+            return rows
+        path = F.col("_metadata.file_path") if paths else F.lit("")
+        return rows.select("*", path.alias("path")).join(F.broadcast(told), "path").drop("path")
