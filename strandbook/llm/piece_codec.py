@@ -1,8 +1,7 @@
 """SentencePiece encoding and decoding of whole texts.
 
-Encoding gives the ids of the model's own library: the best-score segmentation for unigram models, the
-merged one for models whose scores are merge ranks (see ``pieces.BestScore``). Decoding gives the text
-back, except that U+2581 becomes a space.
+Encoding gives the ids of the model's own library, by an Aho-Corasick automaton that drives a Viterbi pass
+(see ``pieces.BestScore``). Decoding gives the text back, except that U+2581 becomes a space.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +19,9 @@ from . import pieces
 from .common import widened, worker_memo
 
 
+AT_ONCE = 1 << 20  # ids that are decoded together
+
+
 def model_path() -> str:
     """The piece model: STRANDBOOK_PIECE_MODEL, else the installed public one."""
     if found := os.environ.get("STRANDBOOK_PIECE_MODEL"):
@@ -33,6 +36,16 @@ def _coder(model: str | None):
     return worker_memo(f"best_score_{path}", lambda: pieces.BestScore(pieces.Vocabulary(path)))
 
 
+def _text(joined: pa.Array) -> pa.Array:
+    """Texts of joined pieces; bytes that are not UTF-8 become U+FFFD."""
+    try:
+        texts = joined.cast(pa.string())
+    except pa.ArrowInvalid:
+        texts = pa.array([x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.string())
+    spaced = pc.replace_substring(texts, pieces.SPACE_MARK, " ")
+    return pc.replace_substring_regex(spaced, r"\A ", "", max_replacements=1)
+
+
 def encode(docs: DataFrame, text_col: str = "text", model: str | None = None) -> DataFrame:
     """docs with piece_ids, array<int>, added (a column of that name is replaced).
 
@@ -44,11 +57,11 @@ def encode(docs: DataFrame, text_col: str = "text", model: str | None = None) ->
     def run(batches):
         coder = _coder(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [np.frombuffer(coder.encode(t.as_py()), np.int32) for t in part.column(text_col)]
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = coder.encode_all(part.column(text_col).to_pylist())
+                ends = np.cumsum([0, *map(len, found)]) // 4
+                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, "piece_ids"])
 
     plain = docs.select(*(F.col(f"`{c}`") for c in columns))
@@ -60,12 +73,19 @@ def decode(coded: DataFrame, ids_col: str = "piece_ids", out_col: str = "decoded
     columns = [c for c in coded.columns if c != out_col]
 
     def run(batches):
-        words = _coder(model).vocabulary
+        spelled = pa.array(_coder(model).vocabulary.spelled, pa.binary())
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = pa.array([None if not x.is_valid else words.decode(x.values.tolist()) for x in part.column(ids_col)], pa.string())
+            sizes = pc.fill_null(pc.list_value_length(batch.column(ids_col)), 0).to_numpy(zero_copy_only=False)
+            whole, at = np.r_[0, np.cumsum(sizes)], 0
+            while at < batch.num_rows:  # as many rows as have AT_ONCE ids together, or one
+                rows = max(1, int(np.searchsorted(whole, whole[at] + AT_ONCE, "right")) - 1 - at)
+                part = batch.slice(at, rows)
+                ids = part.column(ids_col)
+                ends = pa.array((whole[at : at + rows + 1] - whole[at]).astype(np.int32))
+                parts = pa.ListArray.from_arrays(ends, spelled.take(pc.list_flatten(ids)))
+                texts = pc.if_else(pc.is_valid(ids), _text(pc.binary_join(parts, b"")), pa.scalar(None, pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, out_col])
+                at += rows
 
     plain = coded.select(*(F.col(f"`{c}`") for c in columns))
     return plain.mapInArrow(run, widened(plain, **{out_col: T.StringType()}))

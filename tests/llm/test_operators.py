@@ -153,16 +153,54 @@ def test_best_score_segmentation_equals_brute_force():
     vocabulary = pieces.Vocabulary(piece_codec.model_path())
     vocabulary.by_merges = False
     coder = pieces.BestScore(vocabulary)
-    for word in ("▁the", "▁then", "▁retit", "▁漢字x", "▁hello"):
+    words = ("▁the", "▁then", "▁retit", "▁漢字x", "▁hello", "▁", "😀😀", "▁" + "anothertime" * 4)
+    together = coder.solve(list(words))
+    for word in words:
         best = {0: 0.0}
         for end in range(1, len(word) + 1):
             options = [best[s] + vocabulary.scores[word[s:end]] for s in range(end) if word[s:end] in vocabulary.scores]
             if word[end - 1] not in vocabulary.ids:
                 options.append(best[end - 1] + vocabulary.unknown)
             best[end] = max(options)
-        spelled = sum(vocabulary.scores.get(vocabulary.pieces[i], 0) for i in coder.segment(word))
         unknown = sum(c not in vocabulary.ids for c in word) * vocabulary.unknown
-        assert spelled + unknown == best[len(word)]
+        for ids in (together[word], coder.segment(word)):
+            spelled = sum(vocabulary.scores.get(vocabulary.pieces[i], 0) for i in np.frombuffer(ids, np.int32))
+            assert spelled + unknown == best[len(word)]
+
+
+def test_neighbours_stay_apart_as_merging_says():
+    vocabulary = pieces.Vocabulary(piece_codec.model_path())
+    told, merger, rng = pieces.Neighbours(vocabulary), pieces.MergeCount(vocabulary), random.Random(4)
+    known = list(vocabulary.ids.values())
+    few = [i for i in known if len(vocabulary.pieces[i]) < 4]
+    for left, right in [(rng.choice(few), rng.choice(few)) for _ in range(20000)] + [(rng.choice(known), rng.choice(known)) for _ in range(20000)]:
+        want = [vocabulary.pieces[left], vocabulary.pieces[right]]
+        assert told.apart(left, right) == (merger.merge("".join(want)) == want), want
+
+
+def test_odd_texts_are_encoded_as_the_library_does():
+    import sentencepiece
+
+    path, rng = piece_codec.model_path(), random.Random(2)
+    coder, model = pieces.BestScore(pieces.Vocabulary(path)), sentencepiece.SentencePieceProcessor(model_file=path)
+    counter = pieces.MergeCount(coder.vocabulary)
+    texts = ["".join(rng.choice("aabbetthe  ▁▁ \n\t<s>0x41éß漢字😀\x00'\"0123") for _ in range(rng.randrange(150))) for _ in range(500)]
+    texts += ["".join(rng.choice("etaoinshrd漢😀") for _ in range(rng.randrange(60, 400))) for _ in range(50)]
+    texts += ["e" * 200_000, "▁" * 300, "", None, "<s></s><unk><0x41>", "\u200b\ufeff x"]
+    for text, ids in zip(texts, coder.encode_all(texts)):
+        want = model.encode(text or "")
+        assert np.frombuffer(ids, np.int32).tolist() == want and counter.count(text) == len(want)
+
+
+def test_other_models_are_refused(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    with open(piece_codec.model_path(), "rb") as f:
+        spec = sentencepiece_model_pb2.ModelProto.FromString(f.read())
+    spec.normalizer_spec.remove_extra_whitespaces = True
+    (tmp_path / "other.model").write_bytes(spec.SerializeToString())
+    with pytest.raises(ValueError):
+        pieces.Vocabulary(str(tmp_path / "other.model"))
 
 
 def test_neighbours_recall(spark):
