@@ -1 +1 @@
-"""Part of the ledger library."""
+"""Scalar functions of the ledger: hashes, hexadecimal and date texts, the list encoding of payloads."""

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from . import costs
+
 POSITION = ["block_number", "tx_index", "tx_hash", "op_index"]
 SETTERS = ("create", "update", "delete")
 
 
 def history(ops: DataFrame) -> DataFrame:
-    """One row per operation with the entity's state after it and before it."""
+    """One row per operation with the entity's state after it and before it; a content type is carried as the data are."""
     w = W.partitionBy("entity_key").orderBy(*POSITION)
     run = w.rowsBetween(W.unboundedPreceding, 0)
     segment = W.partitionBy("entity_key", "segment").orderBy(*POSITION)
@@ -31,13 +33,27 @@ def history(ops: DataFrame) -> DataFrame:
     base = F.when(op == "delete", F.col("block_number")).when(op.isin("create", "update"), F.col("block_number") + F.col("btl"))
     longer = F.sum(F.when(op == "extend", F.col("btl")).otherwise(0)).over(so_far)
     df = df.withColumn("state_data", F.when(started, F.first("data").over(segment)))
+    typed = ["content_type"] if "content_type" in ops.columns else []
+    for column in typed:
+        df = df.withColumn(column, F.when(started, F.first(F.when(op != "delete", F.col(column))).over(segment)))
     df = df.withColumn("expires_at_block", F.when(started, F.first(base).over(segment) + longer))
-    for column in ("owner", "status", "expires_at_block"):
+    for column in ("owner", "status", "expires_at_block", *typed):
         df = df.withColumn(f"prev_{column}", F.lag(column).over(w))
     df = df.withColumn("prev_data", F.lag("state_data").over(w))
     return df.drop("segment", "data").withColumnRenamed("state_data", "data")
 
 
+def total_cost_wide(ops: DataFrame, cost_word: str = "cost_word") -> DataFrame:
+    """entity_key, POSITION and total_cost as decimal text: running sums of 256-bit costs (words of 32 bytes, null: 0), saturated at 2**256 - 1.
+
+    Limbs of 30 digits are summed in decimals of 38 and carried once: exact for 10**8 operations of one entity.
+    """
+    run = W.partitionBy("entity_key").orderBy(*POSITION).rowsBetween(W.unboundedPreceding, 0)
+    limbs = ops.withColumn("__limbs", costs.limbs_of_word(F.coalesce(F.col(cost_word), F.lit(bytes(32)))))
+    sums = limbs.select("entity_key", *POSITION, *(F.sum(F.col("__limbs")[n]).over(run).cast("decimal(38,0)").alias(f"__{n}") for n in costs.LIMBS))
+    return sums.select("entity_key", *POSITION, costs.plain(costs.carry(*(F.col(f"__{n}") for n in costs.LIMBS))).alias("total_cost"))
+
+
 def with_expiry_seconds(history: DataFrame, seconds_per_block: int = 2) -> DataFrame:
     """Expiry as a time: block time plus the distance; the saturating variant never lies before the block; null on overflow."""
     apart = F.try_multiply(F.try_subtract(F.col("expires_at_block"), F.col("block_number")), F.lit(seconds_per_block).cast("bigint"))

@@ -6,39 +6,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-CELLS = 64  # ranges that a global order is cut into
+from ..scratch import Scratch
 
+ROWS_A_PART = 33  # bits of a generated id that number the rows of a partition
 
-def _cells(df: DataFrame, by: str, cells: int) -> DataFrame:
-    """df with the number of the range of ``by`` a row falls into; the bounds are quantiles, nulls are range -1."""
-    bounds = df.agg(F.percentile_approx(by, [i / cells for i in range(1, cells)], 1000)).first()[0] or []
-    above = F.size(F.filter(F.lit(sorted({float(b) for b in bounds})), lambda b: b <= F.col(by))) if bounds else F.lit(0)
-    return df.withColumn("__cell", F.when(F.col(by).isNull(), -1).otherwise(above))
 
+def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df in ranges of a total order, written once: with __part, the number of a row's range, and __at, its place there.
 
-def ranked(df: DataFrame, by: str, ties: list[str], descending: bool = True, name: str = "rank", cells: int = CELLS) -> DataFrame:
+    Spark samples the order to cut the ranges, as many as the size of the data asks for. As the order
+    holds the tie columns, equal values are cut like any others.
+    """
+    numbered = df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id())
+    kept = Scratch(df.sparkSession).keep(numbered, "ranged")
+    return kept.withColumn("__part", F.shiftright("__id", ROWS_A_PART)).withColumn("__at", F.col("__id").bitwiseAND(F.lit((1 << ROWS_A_PART) - 1))).drop("__id")
+
+
+def _before(cut: DataFrame, total: Column) -> DataFrame:
+    """(__part, __before): the total of the ranges before each; one row per range, a few thousand at most."""
+    ahead = F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+    return cut.groupBy("__part").agg(total.alias("__n")).select("__part", F.coalesce(ahead, F.lit(0)).alias("__before"))
+
+
+def ranked(df: DataFrame, by: str, ties: list[str], descending: bool = True, name: str = "rank") -> DataFrame:
     """df with row numbers in the order of ``by`` (nulls first if descending, else last), ties by ascending columns.
 
-    Rows are numbered within ranges and shifted by the rows of the ranges before: at most ``cells`` + 1
-    totals are broadcast, and no task sees the whole table.
+    Rows are sorted in ranges, and shifted by the rows of the ranges before: no task sees the whole table.
     """
-    cut = _cells(df, by, cells)
-    totals = cut.groupBy("__cell").agg(F.count("*").alias("__n"))
-    null_last = F.when(F.col("__cell") < 0, 1 << 30).otherwise(F.col("__cell"))
-    first = F.when(F.col("__cell") < 0, -(1 << 30)).otherwise(-F.col("__cell")) if descending else null_last
-    before = totals.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy(first).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    order = [F.desc_nulls_first(by) if descending else F.asc_nulls_last(by), *(F.asc(t) for t in ties)]
-    numbered = cut.join(F.broadcast(before), "__cell").withColumn(name, (F.col("__before") + F.row_number().over(W.partitionBy("__cell").orderBy(*order))).cast("bigint"))
-    return numbered.drop("__cell", "__before")
+    cut = _ranged(df, [F.desc_nulls_first(by) if descending else F.asc_nulls_last(by), *(F.asc(t) for t in ties)])
+    numbered = cut.join(F.broadcast(_before(cut, F.count("*"))), "__part").withColumn(name, (F.col("__before") + F.col("__at") + 1).cast("bigint"))
+    return numbered.select(*df.columns, name)
 
 
-def running_sum(df: DataFrame, order: str, value: str, name: str, cells: int = CELLS) -> DataFrame:
+def running_sum(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
     """df with the sum of ``value`` over all rows up to this one in the order of a unique column: two levels, as in ``ranked``."""
-    cut = _cells(df, order, cells)
-    totals = cut.groupBy("__cell").agg(F.sum(value).alias("__n"))
-    before = totals.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    inner = F.sum(value).over(W.partitionBy("__cell").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    return cut.join(F.broadcast(before), "__cell").withColumn(name, (F.col("__before") + inner).cast("bigint")).drop("__cell", "__before")
+    cut = _ranged(df, [F.asc(order)])
+    inner = F.sum(value).over(W.partitionBy("__part").orderBy("__at").rowsBetween(W.unboundedPreceding, 0))
+    summed = cut.join(F.broadcast(_before(cut, F.sum(value))), "__part").withColumn(name, (F.col("__before") + inner).cast("bigint"))
+    return summed.select(*df.columns, name)
 
 
 def paginate(df: DataFrame, order: list[Column | str], page: int = 1, size: int = 100) -> DataFrame:

@@ -1,6 +1,8 @@
 """All queries of the ledger library and their SQL."""
 
-from .plans.catalog import QUERIES
-from .plans.sql import ORACLES
+from .plans import catalog, raw, sql
+
+QUERIES = catalog.QUERIES | raw.QUERIES
+ORACLES = sql.ORACLES | raw.ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -20,7 +20,11 @@ def micros(ts: Column) -> Column:
 
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The operation log: one operation per event."""
-    e = table(spark, sf_dir, "events")
+    return operations_of(table(spark, sf_dir, "events"))
+
+
+def operations_of(e: DataFrame) -> DataFrame:
+    """Operations of a table or stream of events."""
     kind = F.col("event_type")
     operation = F.when(kind == "signup", "create").when(kind == "purchase", "update").when(kind == "view", "extend").when(kind == "click", "changeowner").otherwise("delete")
     amount = F.round(F.col("value") * 100).cast("bigint")

@@ -1 +1 @@
-"""Part of the ledger library."""
+"""The ingest tick as a Structured Streaming sink."""
