@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import Scratch  # noqa: F401 - the operators take it from here
+
 # Functions of this subpackage travel to the executors by value: a cluster need not have it installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.rpartition(".")[0]])
 
@@ -39,37 +39,23 @@ def words_of(text: Column) -> Column:
 
 
 def row_key(*columns: str) -> Column:
-    """A 64-bit key of a row's content, where an id may be null or repeated; equal rows have equal keys."""
-    parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c).cast("string"))]
-    return F.xxhash64(*parts)
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spark-scratch-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """A 128-bit key of a row's content, where an id may be null or repeated; equal rows have equal keys, others differ.
 
+    Each value is preceded by its length, so that no two rows are written alike.
+    """
+    parts = []
+    for c in columns:
+        text = F.col(f"`{c}`").cast("string")
+        parts += [F.coalesce(F.octet_length(text).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(text, F.lit(""))]
+    return F.unhex(F.md5(F.concat(*parts)))
 
-class Scratch:
-    """Tables written to the shared folder: they cut lineage and survive lost executors."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.paths = spark, f"{scratch_dir(spark)}/strandbook-{uuid.uuid4().hex}", {}
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df once and read it back from there on."""
-        self.paths[name] = path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, *names: str) -> None:
-        """Delete tables that nothing reads any more."""
-        for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+def unused(name: str, *tables: DataFrame) -> str:
+    """name, with as many underscores after it as make it differ from all columns of the tables."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def checked_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -91,13 +77,16 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        # Only labels that are no root any more lead further; most labels are roots soon.
+        used = labels.filter("label <> node").select(F.col("node").alias("label"), F.col("label").alias("far"))
         turn += 1
-        after = scratch.keep(lower.join(jump, "label").select("node", F.least("label", "far").alias("label"), (F.least("label", "far") < F.col("old")).alias("moved")), f"{name}-{turn}")
+        after = lower.join(used, "label", "left").select("node", F.least("label", "far").alias("label"), (F.least("label", "far") < F.col("old")).alias("moved"))
+        after = scratch.keep(after, f"{name}-{turn}")
         moved = after.filter("moved").limit(1).count()
         scratch.drop(f"{name}-{turn - 1}")
         labels = after.select("node", "label")
         if not moved:
+            scratch.drop(f"{name}-edges")
             return labels
 
 

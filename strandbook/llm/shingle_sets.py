@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import xxhash
 
@@ -67,18 +69,23 @@ def may_reach(a_size: int, a_fine: bytes, b_size: int, b_fine: bytes, num: int,
 
 
 class Bands:
-    """Size bands and their partition counts for a Jaccard threshold of num/den.
+    """Size bands and their PartEnum parameters for a Jaccard threshold of num/den.
 
-    Two sets that reach the threshold have sizes in one band or in neighbouring bands, and differ in
-    at most ``allowed(band)`` elements, band being that of the larger one. The element domain is split
-    into allowed + 1 + spare parts by hash, so that both sets have at least 1 + spare parts in common.
+    Two sets that reach the threshold have sizes in one band or in neighbouring bands, and differ in at
+    most ``allowed(band)`` = k elements, band being that of the larger one. The element domain is hashed
+    into ``parts`` first-level parts of SUBPARTS second-level parts each. With k // (LOOSE + 1) + 1 + spare
+    parts, the two sets differ in at most LOOSE elements in 1 + spare of them at least (else they would
+    differ in more than k), and agree there on some subset of SUBPARTS - LOOSE second-level parts.
     """
 
+    LOOSE, SUBPARTS = 1, 3
+
     def __init__(self, num: int, den: int, largest: int = 1 << 31):
         self.num, self.den, self.tops = num, den, [1]
         while self.tops[-1] < largest:
             self.tops.append(max(self.tops[-1] + 1, self.tops[-1] * den // num))
         self._tops = np.array(self.tops)
+        self.subsets = np.array([[j not in out for out in combinations(range(self.SUBPARTS), self.LOOSE)] for j in range(self.SUBPARTS)], np.uint64)
 
     def of(self, size: int) -> int:
         return int(np.searchsorted(self._tops, size))
@@ -86,36 +93,43 @@ class Bands:
     def allowed(self, band: int) -> int:
         return 2 * self.tops[band] * (self.den - self.num) // (self.den + self.num)
 
-    def spare(self, band: int) -> int:
-        return 2 + self.allowed(band) // 24
+    def parts(self, band: int) -> tuple[int, int]:
+        """First-level parts of a band, and how many of them are spare."""
+        base = self.allowed(band) // (self.LOOSE + 1) + 1
+        spare = (base + 4) // 8
+        return base + spare, spare
 
 
 def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
     """Signed 64-bit signatures of one set, for its own band and the next one.
 
-    A part's signature hashes the band, the part and the elements that fall into the part. Empty parts
-    are left out when a set has at most ``spare`` of them: of the parts that two near sets share, one
-    at least is then not empty.
+    A signature hashes the band, the first-level part, the subset of second-level parts, and the elements
+    that fall into these. Signatures over few elements are shared by chance, so each set leaves out those
+    below a count of its own, the largest that touches at most ``spare`` first-level parts. Of two near
+    sets, the one with the higher count leaves out what both leave out together, so that in one of their
+    1 + spare nearly equal parts everything is still there.
     """
     size = len(elements)
     found = []
     if size:
-        own = bands.of(size)
+        own, width, subsets = bands.of(size), bands.SUBPARTS, bands.subsets
         for band in (own, own + 1):
             if bands.allowed(band) == 0 or band > own and size * bands.den // bands.num <= bands.tops[own]:
                 continue
-            spare = bands.spare(band)
-            parts = bands.allowed(band) + 1 + spare
+            parts, spare = bands.parts(band)
             tag = np.uint64(band * PLACES[1] & (1 << 64) - 1)
-            part = ((mix(elements + tag) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
-            part, values = part[order], mix(elements[order] ^ np.uint64(PLACES[2]))
-            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            sums, filled = np.add.reduceat(values, first), part[first]
-            if parts - len(filled) > spare:
-                empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), filled)
-                filled, sums = np.r_[filled, empty], np.r_[sums, np.zeros(len(empty), np.uint64)]
-            found.append(mix(sums + mix(filled + np.uint64(PLACES[3]) + tag)))
+            hashed = mix(elements + tag)
+            cell = (((hashed >> np.uint64(32)) * np.uint64(parts * width)) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(cell.astype(np.uint16) if parts * width < 1 << 16 else cell, kind="stable")
+            held = cell[order]
+            first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
+            sums = np.zeros(parts * width, np.uint64)
+            sums[held[first]] = np.add.reduceat(hashed[order], first)
+            counts = np.bincount(cell, minlength=parts * width).astype(np.uint64)
+            sums, counts = sums.reshape(parts, width) @ subsets, counts.reshape(parts, width) @ subsets
+            least = np.partition(counts.min(1), spare)[spare]
+            place = np.arange(sums.size, dtype=np.uint64).reshape(sums.shape)
+            found.append(mix(sums + mix(place + np.uint64(PLACES[3]) + tag))[counts >= least])
     return np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
 
 
