@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, checked_broadcast, row_key, words_of
+from .common import SPACE, Scratch, checked_broadcast, row_key, unused, words_of
 
 WINDOW = 3
 SYMBOLS = "#*$%&|<>"
@@ -205,6 +205,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labelled = measured.filter("not base_failed").join(known, "doc_id").select(*FEATURES, (F.col("low") > 0).alias("good"))
     labelled = scratch.keep(labelled, "labelled")
     rules = learn_rules(labelled)
+    scratch.drop("labelled")
     judged = measured.withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
     return judged, rules
 
@@ -212,5 +213,6 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that ``judge`` keeps, with all their columns."""
     judged, _ = judge(docs, labels, id_col, text_col)
-    gone = judged.filter(~F.col("kept")).select(F.col("row_key").alias("__key")).distinct()
-    return docs.withColumn("__key", row_key(id_col, text_col)).join(checked_broadcast(gone, 16), "__key", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    key = unused("__key", docs)
+    gone = judged.filter(~F.col("kept")).select(F.col("row_key").alias(key)).distinct()
+    return docs.withColumn(key, row_key(id_col, text_col)).join(checked_broadcast(gone, 32), key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

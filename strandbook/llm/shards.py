@@ -15,6 +15,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import unused
+
 FANOUT = 4
 TARGET_BYTES = 256 << 20
 MANIFEST = "path string, bytes long, rows long, tier int"
@@ -90,7 +92,8 @@ class ShardStore:
         if by is None:
             arrivals.write.parquet(path)
         else:
-            arrivals.withColumn("__arrival", by).write.partitionBy("__arrival").parquet(path)
+            name = unused("__arrival", arrivals)
+            arrivals.withColumn(name, by).write.partitionBy(name).parquet(path)
         new = self._described(path, arrivals.schema)
         if not new.limit(1).count():
             return before
@@ -131,7 +134,7 @@ class ShardStore:
             self._fs.delete(self._path(p), True)
 
     def read(self, schema, version: int | None = None, shard: bool = False) -> DataFrame:
-        """Rows of a version; if asked, with the shard's path, bytes and tier as __shard (struct)."""
+        """Rows of a version; if asked, with the shard's path, bytes and tier as __shard (a struct; a column of that name is replaced)."""
         files = self.manifest(version)
         told = files.select("path", F.struct("path", "bytes", "tier").alias("__shard"))
         paths = [r["path"] for r in files.select("path").collect()]  # names of files, no data
