@@ -1,11 +1,11 @@
 """Personal data: fixed patterns as seeds, and bootstrapped contextual extraction, in DataFrame functions only.
 
-Seeds are the matches of four fixed patterns. Every identifier-like token (three digits or more, or an @
-between other characters) is an instance; the words before and after it are its lexical patterns. Spark scores
-the graph of patterns and instances in rounds: a pattern is worth the share of its instances that are
-believed, an instance is believed as far as its patterns are reliable (noisy or). Instances that base
-matches cover are believed from the start. Tokens which reliable patterns surround are added as spans of
-kind ``other``; base spans stay.
+Seeds are the matches of four fixed patterns, and key-like tokens (32 hexadecimal digits or more). Every
+identifier-like token (three digits or more, or an @ between other characters) is an instance; the word before
+it, the two words before it and the word after it are its lexical patterns. Spark scores the graph of patterns
+and instances in rounds: a pattern is worth the share of its instances that are believed, an instance is
+believed as far as its patterns are reliable (noisy or). Seeds are believed from the start. Seeds that no base
+match covers, and tokens which reliable patterns surround, are added as spans of kind ``other``; base spans stay.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, checked_broadcast, row_key
+from .common import BROADCAST_BYTES, SPACE, Scratch, row_key, unused
 
 # The fixed patterns in possessive form: each scan is linear, and where a match may start is said by a
 # look-behind, so that leftmost matches are the same as those of the plain forms.
@@ -32,6 +32,9 @@ INSTANCE = (
     rf"|@*+[^@{SPACE}]++@++[^@{SPACE}][^{SPACE}]*+)"
 )
 
+#: A token that is a seed by its form: hexadecimal digits, both figures and letters, in quotes or brackets or bare.
+KEY = r"^[\"'(\[{<=:]*+(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{32,}+[\"')\]}>.,;:!?]*+$"
+
 ROUNDS = 3
 LEAST_SUPPORT = 5  # different believed instances that a pattern needs
 LEAST_RELIABILITY = 0.8  # share of a pattern's instances that are believed
@@ -42,27 +45,28 @@ SPAN = "struct<kind:int,start:int,end:int>"
 
 
 def located(text: Column, pattern: str) -> Column:
-    """Matches of a pattern with their places: array of (match, before, after, start, end), code points, end exclusive.
+    """Matches of a pattern with their places: array of (match, before, two, after, start, end), code points, end exclusive.
 
     The text is split at the matches, and places are running sums of the pieces' lengths; before and after
-    are the neighbouring words.
+    are the neighbouring words, two the two words before (empty where there is but one up to the match before).
     """
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     last = lambda piece: F.regexp_extract(piece, f"([^{SPACE}]++)[{SPACE}]*+$", 1)
+    pair = lambda piece: F.regexp_extract(piece, f"([^{SPACE}]++[{SPACE}]++[^{SPACE}]++)[{SPACE}]*+$", 1)
     first = lambda piece: F.regexp_extract(piece, f"^[{SPACE}]*+([^{SPACE}]++)", 1)
     told = F.zip_with(
-        F.arrays_zip(F.transform(pieces, F.length).alias("n"), F.transform(pieces, last).alias("before"), F.slice(F.transform(pieces, first), 2, F.size(pieces)).alias("after")),
+        F.arrays_zip(F.transform(pieces, F.length).alias("n"), F.transform(pieces, last).alias("before"), F.transform(pieces, pair).alias("two"), F.slice(F.transform(pieces, first), 2, F.size(pieces)).alias("after")),
         found,
-        lambda p, m: F.struct(p["n"].alias("gap"), m.alias("match"), p["before"].alias("before"), p["after"].alias("after")),
+        lambda p, m: F.struct(p["n"].alias("gap"), m.alias("match"), p["before"].alias("before"), p["two"].alias("two"), p["after"].alias("after")),
     )
     return F.aggregate(
         F.filter(told, lambda x: x["match"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<match:string,before:string,after:string,start:int,end:int>>").alias("out")),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<match:string,before:string,two:string,after:string,start:int,end:int>>").alias("out")),
         lambda acc, x: F.struct(
             (acc["at"] + x["gap"] + F.length(x["match"])).alias("at"),
             F.concat(
                 acc["out"],
-                F.array(F.struct(x["match"], x["before"], x["after"], (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["match"])).alias("end"))),
+                F.array(F.struct(x["match"], x["before"], x["two"], x["after"], (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["match"])).alias("end"))),
             ).alias("out"),
         ),
         lambda acc: acc["out"],
@@ -97,13 +101,13 @@ def base_spans(text: Column) -> Column:
 
 
 def instances(text: Column, base: Column) -> Column:
-    """Identifier-like tokens with their contexts and whether a base span overlaps them."""
-    none = F.array().cast("array<struct<token:string,before:string,after:string,start:int,end:int,seed:boolean>>")
+    """Identifier-like tokens with their contexts, whether a base span overlaps them, and whether they look like a key."""
+    none = F.array().cast("array<struct<token:string,before:string,two:string,after:string,start:int,end:int,covered:boolean,key:boolean>>")
     found = F.transform(
         located(text, INSTANCE),
         lambda x: F.struct(
-            F.lower(x["match"]).alias("token"), F.lower(x["before"]).alias("before"), F.lower(x["after"]).alias("after"), x["start"].alias("start"), x["end"].alias("end"),
-            F.exists(base, lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"])).alias("seed"),
+            F.lower(x["match"]).alias("token"), F.lower(x["before"]).alias("before"), F.lower(x["two"]).alias("two"), F.lower(x["after"]).alias("after"), x["start"].alias("start"), x["end"].alias("end"),
+            F.exists(base, lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"])).alias("covered"), x["match"].rlike(KEY).alias("key"),
         ),
     )
     return F.when(text.rlike("[0-9@]"), found).otherwise(none)
@@ -112,11 +116,11 @@ def instances(text: Column, base: Column) -> Column:
 def learned_spans(found: DataFrame, scratch: Scratch) -> DataFrame:
     """(row_key, extra: sorted array of spans) for rows of (row_key, seen: array of instances), by bootstrapping.
 
-    Patterns are the word before and the word after. A row whose instances no reliable pattern surrounds
-    is left out. No instances, or fewer believed ones than LEAST_SUPPORT: no rows.
+    A row whose instances are no keys and which no reliable pattern surrounds is left out. No instances: no rows.
     """
-    seen = scratch.keep(found.select("row_key", F.explode("seen").alias("x")).select("row_key", "x.*").distinct(), "instances")
-    sides = F.explode(F.filter(F.array(F.concat(F.lit("<"), "before"), F.concat(F.lit(">"), "after")), lambda p: F.length(p) > 1)).alias("pattern")
+    seen = scratch.keep(found.select("row_key", F.explode("seen").alias("x")).select("row_key", "x.*").distinct().withColumn("seed", F.col("covered") | F.col("key")), "instances")
+    contexts = F.array(F.concat(F.lit("<"), "before"), F.concat(F.lit("<<"), F.regexp_replace("two", f"[{SPACE}]++", " ")), F.concat(F.lit(">"), "after"))
+    sides = F.explode(F.filter(contexts, lambda p: ~p.isin("<", "<<", ">"))).alias("pattern")
     edges = scratch.keep(seen.select("token", "seed", sides).groupBy("pattern", "token").agg(F.max("seed").alias("seed")), "edges")
     seeds = edges.groupBy("token").agg(F.max("seed").alias("seed"))
     beliefs = seeds.select("token", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("belief"), "seed")
@@ -125,10 +129,11 @@ def learned_spans(found: DataFrame, scratch: Scratch) -> DataFrame:
         reliable = scratch.keep(scored.filter((F.col("support") >= LEAST_SUPPORT) & (F.col("reliability") >= LEAST_RELIABILITY)), f"reliable-{turn}")
         doubt = edges.select("pattern", "token").join(reliable, "pattern").groupBy("token").agg(F.sum(F.log(1 - F.least("reliability", F.lit(0.999)))).alias("doubt"))
         beliefs = scratch.keep(seeds.join(doubt, "token", "left").select("token", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp(F.coalesce("doubt", F.lit(0.0)))).alias("belief"), "seed"), f"beliefs-{turn}")
+    keys = seen.filter("key and not covered").select("row_key", "start", "end")
     open_ends = seen.filter("not seed").select("row_key", "start", "end", sides).join(reliable, "pattern")
     spoken = open_ends.groupBy("row_key", "start", "end").agg(F.sum(F.log(1 - F.least("reliability", F.lit(0.999)))).alias("doubt")).filter(1 - F.exp("doubt") >= LEAST_BELIEF)
     extra = F.array_sort(F.collect_set(F.struct(F.lit(len(KINDS)).alias("kind"), "start", "end"))).alias("extra")
-    return scratch.keep(spoken.groupBy("row_key").agg(extra), "extra")
+    return scratch.keep(spoken.select("row_key", "start", "end").unionByName(keys).groupBy("row_key").agg(extra), "extra")
 
 
 def _written(spans: Column) -> Column:
@@ -147,6 +152,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     based = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row_key"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
     based = scratch.keep(based.select("doc_id", "row_key", "base", instances(F.col("text"), F.col("base")).alias("seen")), "based")
     extra = learned_spans(based.filter(F.size("seen") > 0), scratch)
+    scratch.drop_all("based", "extra")
     out = based.drop("seen").join(extra, "row_key", "left").withColumn("found", F.concat("base", F.coalesce("extra", F.array().cast(f"array<{SPAN}>"))))
     counts = [F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]  # noqa: B023
     return out.select("doc_id", "row_key", *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("found")).alias("spans"), "found")
@@ -157,9 +163,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     All other columns stay as they are. Rows without spans keep their texts; null texts stay null.
     """
-    found = find(docs, id_col, text_col).filter(F.size("found") > 0).select(F.col("row_key").alias("__key"), F.col("found").alias("__found")).dropDuplicates(["__key"])
+    key, spans = unused("__key", docs), unused("__found", docs)
+    found = find(docs, id_col, text_col).filter(F.size("found") > 0).select(F.col("row_key").alias(key), F.col("found").alias(spans)).dropDuplicates([key])
     text, names = F.col(text_col), F.lit([k.upper() for k in (*KINDS, OTHER)])
-    ordered = F.array_sort(F.transform("__found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     cut = F.aggregate(
         ordered,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
@@ -169,5 +176,11 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         ),
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    joined = docs.withColumn("__key", row_key(id_col, text_col)).join(checked_broadcast(found, 200), "__key", "left")
-    return joined.withColumn(text_col, F.when(F.col("__found").isNotNull(), cut).otherwise(text)).drop("__key", "__found")
+    joined = docs.withColumn(key, row_key(id_col, text_col)).join(_sized(found, spans), key, "left")
+    return joined.withColumn(text_col, F.when(F.col(spans).isNotNull(), cut).otherwise(text)).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def _sized(found: DataFrame, spans: str) -> DataFrame:
+    """found with a broadcast hint if its keys and spans, measured, are small enough."""
+    size = found.agg(F.sum(32 + 12 * F.size(spans)).alias("bytes")).first()["bytes"] or 0
+    return F.broadcast(found) if size <= BROADCAST_BYTES else found
