@@ -1,15 +1,16 @@
 """Mixing sources to target weights by entropy balancing.
 
 Each source gets a token target. Document rates r minimise the divergence sum(size * (r log r - r)) under
-the token constraints sum(size * r * x) = target * [source] (and, on request, under constraints on further
-features of documents). The convex dual has one multiplier per constraint; Newton steps on it need only
-sums over all documents, which Spark aggregates with map-side combining. The solution tilts documents
-exponentially: r = exp(sum(multiplier * feature)).
-
-Rates become whole copies: everyone gets floor(r), and those whose hash falls below a source's threshold
-get one more. Thresholds are found on all documents by refining a histogram of hashes, so that the words
-taken come as near to the target as half a document allows. No rank, sort or group of documents is needed,
-so a source with most of the rows is no burden.
+the token constraints sum(size * r) = target of each source, 0 <= r <= LIMIT, and balance constraints: in each
+source, the mean log length over the words taken shall be that of all words of all sources. Balance is soft
+(SOFTNESS), since a source may have no lengths to balance with; the token constraints are not. The convex dual has one
+multiplier per constraint; Newton steps on it need only sums over all documents, which Spark aggregates with
+map-side combining. The solution tilts documents exponentially: r = min(exp(m0 + m1 * x), LIMIT).
+
+Rates become whole copies: everyone gets floor(r), and those whose hash, divided by what is left of their rate,
+falls below a source's threshold get one more. Thresholds are found on all documents by refining a histogram, so
+that the words taken come as near to the target as half a document allows. No rank, sort or group of documents
+is needed, so a source with most of the rows is no burden. One row per source reaches the driver.
 """
 
 from __future__ import annotations
@@ -18,13 +19,16 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .common import SPACE, Scratch, checked_broadcast, row_key
+from .common import SPACE, Scratch, checked_broadcast, row_key, unused
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3  # a source's target, and a document's copies, are at most so many times what is there
 BINS, LEVELS = 1024, 3  # refinement of the hash threshold: BINS ** LEVELS steps
-NEWTON_STEPS, TOLERANCE = 30, 1e-12
+SPREAD = 4  # hashes divided by rates are binned up to here
+SOFTNESS = 0.05  # how much balance may be missed: a multiplier m1 leaves the mean SOFTNESS * m1 deviations off
+NEWTON_STEPS, TOLERANCE = 40, 1e-9
 
 
 def targets_for(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGHTS, limit: float = LIMIT) -> dict[str | None, float]:
@@ -55,49 +59,54 @@ def word_count(text: Column) -> Column:
     return (F.length(starts) - F.length(F.replace(starts, F.lit("x"), F.lit("")))).cast("long")
 
 
-def solve_rates(sized: DataFrame, targets: DataFrame, features: tuple[str, ...] = (), feature_targets: dict[str, float] | None = None) -> DataFrame:
+def solve_rates(sized: DataFrame, targets: DataFrame, features: tuple[str, ...] = (), feature_targets: dict[str, float] | None = None, limit: float = math.inf, softness: float = 0.0) -> DataFrame:
     """(source, m0, m1..): dual multipliers per source by distributed Newton steps.
 
     sized has source, size and the feature columns; targets has source and target. Each source has its own
-    block of constraints: its words, and for each named feature the mean over its words. Sources with
-    size or target 0 get null multipliers (rate 0). The step is damped until the dual objective falls.
+    block of constraints: its words, and for each named feature the mean over its words, missed by softness times
+    its multiplier. Rates stop at limit; a target of limit times the source's size or more gives that rate to all.
+    Sources with size or target 0 get no row. The step is damped until the dual objective falls.
     """
-    count = 1 + len(features)
+    count, top = 1 + len(features), math.log(limit)
     wanted = {r["source"]: [r["target"]] + [r["target"] * (feature_targets or {})[f] for f in features] for r in targets.collect()}
     size = {r["source"]: float(r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     live = [s for s in wanted if wanted[s][0] > 0 and size.get(s, 0) > 0]
-    lam = {s: [0.0] * count for s in live}
-    step, best = {s: [0.0] * count for s in live}, {}
+    lam = {s: [min(top, math.log(wanted[s][0] / size[s]))] + [0.0] * (count - 1) for s in live}
+    open_ = [s for s in live if wanted[s][0] < limit * size[s] * (1 - 1e-9)]
+    step, best = {s: [0.0] * count for s in open_}, {}
     x = [F.lit(1.0), *(F.col(f).cast("double") for f in features)]
     spark = sized.sparkSession
-    for _ in range(NEWTON_STEPS):
-        trial = {s: [a + b for a, b in zip(lam[s], step[s])] for s in live}
-        rows = [(s, *trial[s]) for s in live]
-        if not rows:
+    schema = "source string, " + ", ".join(f"m{i} double" for i in range(count))
+    for _ in range(NEWTON_STEPS if features else 0):  # without features the multiplier is the logarithm it starts with
+        trial = {s: [a + b for a, b in zip(lam[s], step[s])] for s in open_}
+        if not open_:
             break
-        held = spark.createDataFrame(rows, "source string, " + ", ".join(f"m{i} double" for i in range(count)))
-        tilt = F.exp(sum((F.col(f"m{i}") * x[i] for i in range(1, count)), F.col("m0") * x[0])) * F.col("size")
-        sums = sized.join(F.broadcast(held), sized["source"].eqNullSafe(held["source"])).groupBy(held["source"].alias("source")).agg(
-            F.sum(tilt).alias("z"), *(F.sum(tilt * x[i]).alias(f"g{i}") for i in range(count)),
-            *(F.sum(tilt * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(count) for j in range(i, count)),
+        held = spark.createDataFrame([(s, *trial[s]) for s in open_], schema)
+        z = sum((F.col(f"m{i}") * x[i] for i in range(1, count)), F.col("m0") * x[0])
+        tilted, free = F.exp(F.least(z, F.lit(top))), z < top
+        dual = F.when(free, tilted).otherwise(limit * (1 + z - top)) if limit < math.inf else tilted
+        joined = sized.join(checked_broadcast(held, 64), sized["source"].eqNullSafe(held["source"]))
+        sums = joined.groupBy(held["source"].alias("source")).agg(
+            F.sum(dual * F.col("size")).alias("z"), *(F.sum(tilted * F.col("size") * x[i]).alias(f"g{i}") for i in range(count)),
+            *(F.sum(F.when(free, tilted * F.col("size") * x[i] * x[j]).otherwise(0.0)).alias(f"h{i}_{j}") for i in range(count) for j in range(i, count)),
         )
         worst = 0.0
         for r in sums.collect():
             s = r["source"]
-            value = r["z"] - sum(a * b for a, b in zip(trial[s], wanted[s]))
-            if s in best and value > best[s][0] + 1e-9 * abs(best[s][0]):
+            soft = [0.0] + [softness * wanted[s][0]] * (count - 1)
+            value = r["z"] - sum(a * b for a, b in zip(trial[s], wanted[s])) + sum(c * a * a / 2 for c, a in zip(soft, trial[s]))
+            if s in best and value > best[s] + 1e-9 * abs(best[s]):
                 step[s] = [b / 2 for b in step[s]]
-                worst = 1.0
+                worst = max(worst, 1.0 if max(map(abs, step[s])) > 1e-12 else 0.0)
                 continue
-            lam[s] = trial[s]
-            gradient = [r[f"g{i}"] - wanted[s][i] for i in range(count)]
-            hessian = [[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(count)] for i in range(count)]
-            best[s] = (value,)
+            lam[s], best[s] = trial[s], value
+            gradient = [r[f"g{i}"] - wanted[s][i] + soft[i] * trial[s][i] for i in range(count)]
+            hessian = [[r[f"h{min(i, j)}_{max(i, j)}"] + (soft[i] if i == j else 0.0) for j in range(count)] for i in range(count)]
             step[s] = _solve(hessian, [-g for g in gradient])
             worst = max(worst, max(abs(g) for g in gradient) / wanted[s][0])
         if worst < TOLERANCE:
             break
-    return spark.createDataFrame([(s, *lam[s]) for s in live], "source string, " + ", ".join(f"m{i} double" for i in range(count)))
+    return spark.createDataFrame([(s, *lam[s]) for s in live], schema)
 
 
 def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
@@ -108,67 +117,68 @@ def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     return np.linalg.solve(a + np.eye(len(right)) * 1e-12 * max(1.0, float(np.trace(a))), np.array(right)).tolist()
 
 
-def _thresholds(parted: DataFrame) -> DataFrame:
-    """(source, cut): the hash below which documents get one more copy, for rows of (source, size, u, part, goal).
+def _thresholds(parted: DataFrame, goals: DataFrame, scratch: Scratch) -> DataFrame:
+    """(source, cut): documents with v below the cut get one more copy; parted has (source, size, v), goals (source, goal).
 
-    part is what each document's rate leaves after whole copies and goal is the words still wanted in its
-    source. Each level sums the words of one bin range per source into BINS cells.
+    Each level sums the words of one range of each source into BINS cells, and goes on in the cell that holds the goal.
     """
-    spark = parted.sparkSession
-    want = {r["source"]: (0, float(r["goal"])) for r in parted.groupBy("source").agg(F.max("goal").alias("goal")).collect()}
     scale = BINS**LEVELS
+    at = goals.select("source", F.lit(0).cast("long").alias("low"), F.col("goal").alias("left"))
     for level in range(LEVELS):
         width = scale // BINS ** (level + 1)
-        at = spark.createDataFrame([(s, low) for s, (low, _) in want.items()], "source string, low long")
-        j = parted.join(F.broadcast(at), parted["source"].eqNullSafe(at["source"])).select(at["source"].alias("source"), "size", ((F.col("u") - F.col("low")) / width).cast("long").alias("cell"), (F.col("u") >= F.col("low")).alias("in"))
-        cells: dict = {}
-        for r in j.filter((F.col("cell") < BINS) & F.col("in")).groupBy("source", "cell").agg(F.sum("size").alias("n")).collect():
-            cells.setdefault(r["source"], {})[r["cell"]] = int(r["n"])
-        for s, (low, left) in want.items():
-            here, cell = cells.get(s, {}), 0
-            while cell < BINS - 1 and here.get(cell, 0) <= left:
-                left -= here.get(cell, 0)
-                cell += 1
-            if level == LEVELS - 1 and here.get(cell, 0) - left <= left:
-                cell += 1  # the last cell comes nearer to the goal with its words than without
-            want[s] = (low + cell * width, left)
-    return spark.createDataFrame([(s, low) for s, (low, _) in want.items()], "source string, cut long")
+        told = checked_broadcast(at.withColumnRenamed("source", "of"), 40)
+        cells = parted.join(told, F.col("source").eqNullSafe(F.col("of"))).withColumn("cell", F.floor((F.col("v") - F.col("low")) / width)).filter(F.col("cell").between(0, BINS - 1))
+        cells = cells.groupBy("source", "cell").agg(F.sum("size").alias("n"), F.first("left").alias("left"))
+        upto = F.sum("n").over(W.partitionBy("source").orderBy("cell"))
+        crossed = cells.withColumn("upto", upto).filter(F.col("upto") > F.col("left")).groupBy(F.col("source").alias("of")).agg(F.min_by(F.struct("cell", "upto", "n"), "cell").alias("x"))
+        rest = F.col("left") - (F.col("x.upto") - F.col("x.n"))
+        # The last cell comes nearer to the goal with its words than without; without a crossing everything is taken.
+        beyond = F.when(F.col("x.n") - rest <= rest, width).otherwise(0) if level == LEVELS - 1 else F.lit(0)
+        low = F.when(F.col("x").isNull(), scale).otherwise(F.col("low") + F.col("x.cell") * width + beyond).cast("long")
+        at = at.join(crossed, F.col("source").eqNullSafe(F.col("of")), "left").select("source", low.alias("low"), F.when(F.col("x").isNull(), 0.0).otherwise(rest).cast("double").alias("left"))
+        at = scratch.keep(at, f"cut-{level}")
+    return at.select("source", F.col("low").alias("cut"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
-    """One row per row of docs: doc_id, row_key, size, source_size, target, rate, copies, taken.
+    """One row per row of docs: doc_id, row_key, source, size, source_size, target, rate, copies, taken.
 
     Sizes are words (null text: 0). A null source is one source, last in order. Documents of size 0, and
     all documents of a source of size 0, get no copies. Repeated rows have the same hash and get equal
     copies. A rerun over the same rows gives the same copies, in whatever order they come. No rows: no rows.
-    Only one row per source (and a fixed number of bins each) reaches the driver.
     """
-    scratch = Scratch(docs.sparkSession)
+    spark, scratch, scale = docs.sparkSession, Scratch(docs.sparkSession), BINS**LEVELS
     key = row_key(id_col, source_col, text_col)
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("row_key"))
-    sized = scratch.keep(sized.withColumn("u", F.pmod(F.xxhash64(F.col("row_key"), F.lit(1)), F.lit(BINS**LEVELS))), "sized")
-    spark = docs.sparkSession
+    sized = scratch.keep(sized.withColumn("u", F.pmod(F.xxhash64(F.col("row_key"), F.lit(1)), F.lit(scale))), "sized")
     sizes = [(r["source"], int(r["n"])) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()]
     goals = targets_for(sizes, weights, limit)
     about = spark.createDataFrame([(s, n, float(goals[s])) for s, n in sizes], "source string, source_size long, target double")
-    multipliers = solve_rates(sized, about)
-    rates = {r["source"]: min(math.exp(r["m0"]), float(limit)) for r in multipliers.collect()}
-    rows = []
-    for s, n in sizes:
-        rate = rates.get(s, 0.0)
-        whole = math.floor(rate + 1e-9)
-        rows.append((s, n, float(goals[s]), rate, whole, max(0.0, goals[s] - whole * n)))
-    told = spark.createDataFrame(rows, "source string, source_size long, target double, rate double, whole int, goal double")
-    rated = sized.join(F.broadcast(told), sized["source"].eqNullSafe(told["source"])).drop(told["source"])
-    cuts = _thresholds(rated.select("source", "size", "u", "goal"))
-    out = rated.join(F.broadcast(cuts), rated["source"].eqNullSafe(cuts["source"])).drop(cuts["source"])
-    copies = F.when(F.col("size") == 0, 0).otherwise(F.least(F.col("whole") + F.when((F.col("goal") > 0) & (F.col("u") < F.col("cut")), 1).otherwise(0), F.lit(limit)))
-    return out.withColumn("copies", copies).select("doc_id", "row_key", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    length = F.log(F.greatest("size", F.lit(1)).cast("double"))
+    m = sized.agg(F.sum("size").cast("double").alias("n"), F.sum(length * F.col("size")).alias("s"), F.sum(length * length * F.col("size")).alias("q")).first()
+    mean = m["s"] / m["n"] if m["n"] else 0.0
+    spread = math.sqrt(max(m["q"] / m["n"] - mean * mean, 0.0)) if m["n"] else 0.0
+    balanced = sized.withColumn("x", (length - mean) / (spread if spread > 1e-9 else 1.0))
+    found = solve_rates(balanced, about, ("x",), {"x": 0.0}, float(limit), SOFTNESS)
+    told = checked_broadcast(about.join(found.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of").withColumnRenamed("source", "of"), 80)
+    rate = F.when((F.col("size") > 0) & F.col("m0").isNotNull(), F.least(F.exp(F.col("m0") + F.col("m1") * F.col("x")), F.lit(float(limit)))).otherwise(0.0)
+    rated = balanced.join(told, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("rate", rate)
+    rated = rated.withColumn("whole", F.floor(F.col("rate") + 1e-9).cast("int")).withColumn("part", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
+    # Of two documents with equal hashes, the one whose rate leaves more comes first.
+    place = ((F.col("u") + 0.5) / F.col("part") / SPREAD).cast("long")
+    rated = rated.withColumn("v", F.when(F.col("part") > 1e-9, F.least(place, F.lit(scale - 1))))
+    rated = scratch.keep(rated.select("doc_id", "row_key", "source", "size", "source_size", "target", "rate", "whole", "v"), "rated")
+    left = rated.groupBy("source").agg(F.greatest(F.max("target") - F.sum(F.col("whole") * F.col("size")), F.lit(0.0)).alias("goal"))
+    cuts = checked_broadcast(_thresholds(rated.filter("v is not null").select("source", "size", "v"), left, scratch).withColumnRenamed("source", "of"), 40)
+    scratch.drop("sized")
+    copies = F.when(F.col("size") == 0, 0).otherwise(F.least(F.col("whole") + F.when(F.col("v") < F.col("cut"), 1).otherwise(0), F.lit(limit)))
+    out = rated.join(cuts, F.col("source").eqNullSafe(F.col("of"))).withColumn("copies", copies)
+    return out.select("doc_id", "row_key", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """docs with each row as many times as the mix takes it; columns stay."""
-    key = row_key(id_col, source_col, text_col)
-    copies = mix(docs, id_col, source_col, text_col).select(F.col("source").alias("__source"), F.col("row_key").alias("__key"), F.col("copies").alias("__copies")).dropDuplicates(["__key"])
-    joined = docs.withColumn("__key", key).join(checked_broadcast(copies.filter("__copies > 0").select("__key", "__copies"), 24), "__key")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__key", "__copies", "__copy")
+    key, copies, copy = (unused(name, docs) for name in ("__key", "__copies", "__copy"))
+    found = mix(docs, id_col, source_col, text_col).filter("copies > 0").select(F.col("row_key").alias(key), F.col("copies").alias(copies)).dropDuplicates([key])
+    joined = docs.withColumn(key, row_key(id_col, source_col, text_col)).join(checked_broadcast(found, 40), key)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*(F.col(f"`{c}`") for c in docs.columns))
