@@ -80,4 +80,18 @@ QUERIES = {
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {"op1_sharding": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents"}
+def _url_filters_sql() -> str:
+    """Rules and globs as plain comparisons: the longest rule that fits, else any glob as a LIKE pattern."""
+    fits = []
+    for verdict, rule in sorted(url_filters.RULES, key=lambda r: -len(r[1])):
+        host, _, rest = rule.partition("/")
+        fits.append((f"(host = '{host}' OR host LIKE '%.{host}') AND starts_with(path, '/{rest}')", rule, verdict))
+    like = " OR ".join("canon LIKE '" + g.replace("_", "\\_").replace("*", "%") + "%' ESCAPE '\\'" for _, g in url_filters.GLOBS)
+    rules = " ".join(f"WHEN {test} THEN '{rule}'" for test, rule, _ in fits)
+    verdicts = " ".join(f"WHEN {test} THEN '{verdict}'" for test, _, verdict in fits)
+    return f"""WITH cut AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{url_filters.UPPER}', '{url_filters.LOWER}') AS host,
+      regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages), told AS (SELECT *, '.' || host || chr(0) || path AS canon FROM cut)
+    SELECT page_id, host, path, CASE {rules} END AS rule, CASE {verdicts} WHEN {like} THEN 'block' ELSE '{url_filters.DEFAULT}' END AS verdict FROM told"""
+
+
+ORACLES: dict[str, str] = {"op1_sharding": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents", "op6_url_filters": _url_filters_sql()}

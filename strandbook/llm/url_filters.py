@@ -23,7 +23,10 @@ from .common import widened
 
 # The rules of the filter list, in order, and the globs that judge what no rule fits.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-GLOBS = (("block", "*spam*"), ("block", "*cheap-pills*"), ("block", "*casino*"))
+GLOBS = tuple(("block", glob) for glob in (
+    "*spam*", "*cheap-pills*", "*casino*", "*.xxx", "*porn*", "*viagra*", "*poker*bonus*", "*payday*loan*", "*replica*watch*", "*keygen*", "*warez*", "*crack*serial*",
+    "*/ads/*", "*/adserver/*", "*/banners/*", "*/popup*", "*/tracker/*pixel*", "*/pixel.gif*", "*/wp-login*", "*/phpmyadmin*", "*/cgi-bin/*search*", "*/calendar/*/*/*", "*/login/*return*", "*/print/*/print/*",
+))
 DEFAULT = "allow"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
