@@ -103,6 +103,35 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert found[100] == "other:17:28" and found[3] == "ip:17:25" and found[205] == ""
 
 
+def test_keys_teach_their_contexts(spark):
+    rows = [(i, f'some text token = "{i:08x}abcdef0123456789abcdef0123456789" and more') for i in range(8)]
+    rows += [(100, "some text token = k-48-819-Q and more"), (101, "other text 48-819-QZ here"), (102, "a" * 40 + " " + "7" * 40)]
+    found = {r["doc_id"]: r["spans"] for r in personal_data.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[3] == "other:18:60" and found[100] == "other:18:28" and found[101] == found[102] == ""
+
+
+CLASH = ["__key", "__found", "__copies", "__copy", "__arrival", "__words"]
+
+
+def test_columns_of_clashing_names_stay(spark):
+    plain = odd_docs(spark)
+    docs = plain.select("*", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASH))
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for kept in (quality_rules.keep(docs, labels), near_duplicates.keep_one(docs), personal_data.redact(docs), mixing.mixed(docs), piece_codec.encode(docs)):
+        assert kept.columns[: len(docs.columns)] == docs.columns
+        assert kept.filter(" or ".join(f"{c} <> concat('{c}', doc_id)" for c in CLASH)).count() == 0
+    store = shards.ShardStore(spark, Scratch(spark).root)
+    store.append(docs, by=F.col("lang"))
+    assert store.read(docs.schema).filter("__arrival = concat('__arrival', doc_id)").count() == docs.filter("doc_id is not null").count()
+
+
+def test_empty_tables_give_no_rows(spark):
+    none = odd_docs(spark).limit(0)
+    assert piece_codec.round_trip(none).count() == token_counts.count_tokens(none).count() == personal_data.find(none).count() == personal_data.redact(none).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert url_filters.judge(pages).count() == warc_derivatives.derive(warc_derivatives.responses_of(pages)).count() == 0
+
+
 def test_redaction(spark):
     got = {r["doc_id"]: r["text"] for r in personal_data.redact(odd_docs(spark)).collect() if r["doc_id"] is not None}
     assert got[10] == "[PHONE] and 4111 1111 1111 1111 [IP] 1.2.3.400" and got[0] is None and got[3] == "one"
@@ -264,7 +293,8 @@ def test_registered_names():
     assert [f"op{n}" for n in range(1, 11)] == sorted((q.split("_")[0] for q in queries.QUERIES), key=lambda x: int(x[2:]))
 
 
-def test_compacted_documents_equal_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_equal_sql(spark, name):
     from compare import connect, differences
 
-    assert differences(queries.op1_sharding(spark, DIR), connect(DIR), queries.ORACLES["op1_sharding"]) is None
+    assert differences(queries.QUERIES[name](spark, DIR), connect(DIR), queries.ORACLES[name]) is None
