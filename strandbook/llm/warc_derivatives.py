@@ -7,13 +7,17 @@ by line. Both keep the target URI and date of the source, and carry digests of t
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEX32, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 SOFTWARE = "strandbook derivative builder"
-# The named character references that are resolved besides numbers, and what they stand for.
-ENTITIES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("ndash", "–"), ("mdash", "—"), ("hellip", "…"), ("amp", "&"))
+# The frequent named references and what they stand for; the ampersand comes last, so that nothing is resolved twice.
+ENTITIES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("ndash", "–"), ("mdash", "—"), ("hellip", "…"), ("amp", "&"))
+RARE = "&(?!(?:" + "|".join(name for name, _ in ENTITIES) + ");)(?:#|[A-Za-z][A-Za-z0-9]*+;)"
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 # Script and style end at their own end tag, whatever follows its name, or else with the page.
 RAW = r"<(?<raw>script|style)(?=[\s/>]).*?(?:</\k<raw>(?=[\s/>])[^>]*+(?:>|\z)|\z)"
 BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tr|ul|title"
@@ -33,6 +37,30 @@ def record_id(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), cut[0], F.lit("-"), cut[1], F.lit("-3"), cut[2], F.lit("-8"), cut[3], F.lit("-"), cut[4], F.lit(">"))
 
 
+def resolved(text: Column) -> Column:
+    """text with numeric and standard named character references resolved, once; others stay. No character: U+FFFD; a hard space: a space."""
+    rare = sorted(set(name2codepoint) - {name for name, _ in ENTITIES})
+    names = F.create_map(*(F.lit(x) for name in rare for x in (name, chr(name2codepoint[name]))))
+
+    def char(match: Column) -> Column:
+        body = F.substring(match, 2, F.length(match) - 2)
+        digits = F.ltrim(F.substring(body, 2, F.length(body) - 1), F.lit("xX"))
+        number = F.when(body.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits)
+        point = F.when(number.cast("int").between(1, 0x10FFFF) & ~number.cast("int").between(0xD800, 0xDFFF), number.cast("int")).otherwise(0xFFFD)
+        numeric = F.when(point == ord("&"), "&amp;").otherwise(F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+        return F.when(body.startswith("#"), numeric).otherwise(F.coalesce(F.try_element_at(names, body), match))
+
+    def rare_ones(t: Column) -> Column:
+        pieces, found = F.split(t, REFERENCE, -1), F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0))
+        joined = F.array_join(F.zip_with(pieces, found, lambda p, m: F.concat(p, F.coalesce(char(m), F.lit("")))), "")
+        return F.when(t.rlike(RARE), joined).otherwise(t)
+
+    out = F.get(F.transform(F.array(text), rare_ones), F.lit(0))  # in an array, so that the text is made once
+    for name, plain in ENTITIES:
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(plain))
+    return out
+
+
 def plain_text(html: Column) -> Column:
     """Text of an HTML body: without comments, scripts, styles and tags; blocks end lines; references resolved once.
 
@@ -42,8 +70,7 @@ def plain_text(html: Column) -> Column:
     t = F.regexp_replace(t, rf"(?is){RAW}", " ")
     t = F.regexp_replace(t, rf"(?i)</?(?:{BLOCKS})\b[^>]*+>?", "\n")
     t = F.regexp_replace(t, r"<[!/?A-Za-z][^>]*+>?", "")
-    for name, char in ENTITIES:
-        t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
+    t = resolved(t)
     t = F.regexp_replace(t, r"[ \t\r\f\x0B ]++", " ")
     return F.regexp_replace(F.regexp_replace(t, r" ?+\n[ \n]*+", "\n"), r"^[ \n]++|[ \n]++$", "")
 
@@ -80,7 +107,7 @@ def derive(responses: DataFrame) -> DataFrame:
     sent = F.regexp_replace("http_headers", r"[\r\n]++\z", "")
     sent = F.when(sent != "", F.concat(F.lit("source-http: "), F.array_join(F.split(sent, r"\r\n|\r|\n"), "\r\nsource-http: "), F.lit("\r\n"))).otherwise("")
     facts = F.concat(
-        F.lit("title: "), F.regexp_replace(title, r"\s++", " "), F.lit("\r\nlanguage: "), language, F.lit("\r\noutlinks: "), links.cast("string"),
+        F.lit("title: "), F.trim(F.regexp_replace(resolved(title), r"[\s ]++", " ")), F.lit("\r\nlanguage: "), language, F.lit("\r\noutlinks: "), links.cast("string"),
         F.lit("\r\nsource-content-type: "), F.col("content_type"), F.lit("\r\nsource-payload-bytes: "), F.octet_length("body").cast("string"), F.lit("\r\n"), sent,
     )
     made = df.select(

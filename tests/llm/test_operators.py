@@ -289,6 +289,31 @@ def test_warc_records_are_linked(spark):
     assert "language: fr\r\noutlinks: 1" in rows[1, "metadata"]["block"] and rows[2, "conversion"]["block"] == ""
 
 
+def test_references_are_resolved_once(spark):
+    text = "&#39; &#x41;&eacute;&amp;lt; &amp;eacute; &#38;lt; &nbsp;&unknown; a&b &#55296; &#0; &lt;b&gt; &Alpha"
+    got = spark.createDataFrame([(text,), ("no reference",), (None,)], "t string").select(warc_derivatives.resolved(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["' Aé&lt; &eacute; &lt;  &unknown; a&b � � <b> &Alpha", "no reference", None]
+
+
+def test_pages_of_every_kind_give_linked_records(spark):
+    import hashlib
+
+    pages = spark.read.parquet(f"{DIR}/pages.parquet").select("page_id", "url", "html")
+    odd = spark.createDataFrame([(-1, "u", "<p>" + "x " * 500_000), (-2, None, "<script>" * 3000), (-2, None, "<script>" * 3000)], pages.schema)
+    responses = warc_derivatives.responses_of(pages.unionByName(odd))
+    sources = {r["record_id"]: r for r in responses.collect()}
+    records = warc_derivatives.derive(responses).collect()
+    assert len(records) == 2 * responses.count()
+    for r in records:
+        source, block = sources[r["refers_to"]], r["block"].encode()
+        assert r["target_uri"] == source["target_uri"] and r["n_bytes"] == len(block)
+        assert r["record"].encode().endswith(b"\r\n\r\n" + block + b"\r\n\r\n") and f"Content-Length: {len(block)}\r\n" in r["record"]
+        import base64
+
+        digest = lambda data: "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+        assert r["block_digest"] == digest(block) and r["payload_digest"] == digest(source["body"].encode())
+
+
 def test_registered_names():
     assert [f"op{n}" for n in range(1, 11)] == sorted((q.split("_")[0] for q in queries.QUERIES), key=lambda x: int(x[2:]))
 
