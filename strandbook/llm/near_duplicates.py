@@ -62,11 +62,13 @@ def _sign(width: int, num: int, den: int):
     def dealt(sigs, keys):
         sig, key = np.concatenate(sigs), np.concatenate(keys)
         order = np.argsort(sig, kind="stable")
-        sig, key = sig[order], key[order]
-        first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-        often = np.repeat(np.diff(np.r_[first, len(sig)]), np.diff(np.r_[first, len(sig)])) > HOT
+        first = np.flatnonzero(np.r_[True, np.diff(sig[order]) != 0])
+        counts = np.diff(np.r_[first, len(sig)])
+        often = np.empty(len(sig), bool)
+        often[order] = np.repeat(counts > HOT, counts)
         salt = np.where(often, 1 + (sets.mix(key.view(np.uint64)) % np.uint64(SALTS)).astype(np.int32), 0)
-        beacon = first[often[first]]
+        beacon = order[first[counts > HOT]]
+        # Rows stay in the order of their sets: keys that follow each other are alike, and shuffle in less space.
         sig, key, salt = np.r_[sig, sig[beacon]], np.r_[key, key[beacon]], np.r_[salt, np.zeros(len(beacon), np.int32)]
         for at in range(0, len(sig), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in (sig, salt.astype(np.int32), key)], names=["sig", "salt", "key"])
