@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_duplicates, neighbours, personal_data, piece_codec, quality_rules, shards, token_counts, url_filters, warc_derivatives
+from . import conversation_repair, filter_audit, language_id, mixing, near_duplicates, neighbours, personal_data, piece_codec, quality_rules, shards, token_counts, url_filters, warc_derivatives
 from .common import Scratch
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -67,6 +67,19 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.audit(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -78,8 +91,12 @@ QUERIES = {
     "op10_pii": op10_pii,
     "op4_quality_rules": op4_quality_rules,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_language_id": op13_language_id,
 }
 
+
 def _url_filters_sql() -> str:
     """Rules and globs as plain comparisons: the longest rule that fits, else any glob as a LIKE pattern."""
     fits = []
@@ -94,4 +111,4 @@ def _url_filters_sql() -> str:
     SELECT page_id, host, path, CASE {rules} END AS rule, CASE {verdicts} WHEN {like} THEN 'block' ELSE '{url_filters.DEFAULT}' END AS verdict FROM told"""
 
 
-ORACLES: dict[str, str] = {"op1_sharding": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents", "op6_url_filters": _url_filters_sql()}
+ORACLES: dict[str, str] = {"op1_sharding": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents", "op6_url_filters": _url_filters_sql(), "op11_filter_audit": filter_audit.ORACLE}
