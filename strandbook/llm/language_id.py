@@ -161,7 +161,7 @@ def predict(df: DataFrame, counts: DataFrame, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
         held = held.mapInArrow(score, held.schema)
-    return held.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(best, F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce(F.least(F.lit(1.0), F.exp(F.col(top) - F.col(mass))), F.lit(0.0)).alias("score"))
+    return held.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(best, F.lit(UNKNOWN)).alias("lang_pred"), F.when(F.col(best).isNotNull(), F.least(F.lit(1.0), F.exp(F.col(top) - F.col(mass)))).otherwise(0.0).alias("score"))
 
 
 def held_out(doc_id: Column, of: int = 4, part: int = 2) -> Column:
