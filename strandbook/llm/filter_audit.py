@@ -45,6 +45,8 @@ CHANGES = "part string, mask int, quality boolean, toxic boolean, n long"
 STATE = "held binary"
 SUMMED_NAMES = [f.split()[0] for f in SUMMED.split(", ")]
 HELD_KINDS = [pa.binary(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.int64()]
+STATE_BYTES, HEAP_STATE_BYTES = 64, 1 << 30
+HEAP_STATE, DISK_STATE = (f"org.apache.spark.sql.execution.streaming.state.{n}StateStoreProvider" for n in ("HDFSBacked", "RocksDB"))
 TEXTS_A_BUCKET = 4096  # rows for each bucket of the state: about 200 KB
 
 
@@ -160,23 +162,23 @@ def count(spark: SparkSession, path: str, labels: DataFrame, scratch: Scratch, m
     told = checked_broadcast(labels_of(labels), 64)
     false = lambda c: F.coalesce(c, F.lit(False)).alias(c)
     rows = rows.join(told, "label_key", "left").select("doc_id", "text_key", "mask", "part", false("quality"), false("toxic")).mapInArrow(_summed, SUMMED)
-    buckets = 1 + docs.count() // TEXTS_A_BUCKET
+    total = docs.count()  # from the files' footers
+    buckets = 1 + total // TEXTS_A_BUCKET
     changes = rows.withColumn("bucket", F.pmod(F.xxhash64("text_key"), F.lit(buckets))).groupBy("bucket").applyInPandasWithState(_changes, CHANGES, STATE, "update", "NoTimeout")
     root = f"{scratch.root}/filter-audit"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.groupBy("part", "mask", "quality", "toxic").agg(F.sum("n").alias("n")).filter("n <> 0").write.mode("overwrite").parquet(f"{root}/changes/batch={number}")
 
-    # State of all texts is more than executors' heaps hold: it goes to their disks, with one bound on memory per executor.
-    wanted = {
-        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    }
+    # A state of proven size stays on executors' heaps; a larger one goes to their disks with one bound on memory per
+    # executor. RocksDB allots 4 MB for each partition beforehand, which small states need not pay.
+    wanted = {"spark.sql.streaming.stateStore.providerClass": HEAP_STATE if total * STATE_BYTES <= HEAP_STATE_BYTES else DISK_STATE, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true"}
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
     try:
-        query = stream_of(changes, write, f"{root}/checkpoint")
+        writer = changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint")
+        query = writer.trigger(availableNow=True).start()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
@@ -185,10 +187,6 @@ def count(spark: SparkSession, path: str, labels: DataFrame, scratch: Scratch, m
     return scratch.keep(parts.groupBy("part", "mask", "quality", "toxic").agg(F.sum("n").alias("n")).filter("n <> 0"), "filter-counters")
 
 
-def stream_of(changes: DataFrame, write, checkpoint: str):
-    return changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def report(counters: DataFrame) -> DataFrame:
     """Every part, order of the filters and step, from the counters by mask."""
     bit = lambda f: 1 << f

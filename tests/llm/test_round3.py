@@ -48,7 +48,9 @@ def audit_by_hand(docs, labels):
     return out
 
 
-def test_later_smaller_ids_retract_earlier_masks(spark, tmp_path):
+@pytest.mark.parametrize("heap", [0, 1 << 30])
+def test_later_smaller_ids_retract_earlier_masks(spark, tmp_path, monkeypatch, heap):
+    monkeypatch.setattr(filter_audit, "HEAP_STATE_BYTES", heap)  # 0: the state on disk
     long = " ".join(f"word{i}" for i in range(60))
     docs = [(9, long, "a"), (7, long, "b"), (7, long, "b"), (3, long, None), (12, long, "a"), (None, long, "a"), (None, long, "c"), (None, None, None), (5, None, "a"), (4, "", "a"), (2, "SHOUT # " * 40, "a"), (1, "w " * 9000, "b"), (8, "été " * 20, "c")]
     path = str(tmp_path / "docs")
