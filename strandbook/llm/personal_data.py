@@ -4,8 +4,9 @@ Seeds are the matches of four fixed patterns, and key-like tokens (32 hexadecima
 identifier-like token (three digits or more, or an @ between other characters) is an instance; the word before
 it, the two words before it and the word after it are its lexical patterns. Spark scores the graph of patterns
 and instances in rounds: a pattern is worth the share of its instances that are believed, an instance is
-believed as far as its patterns are reliable (noisy or). Seeds are believed from the start. Seeds that no base
-match covers, and tokens which reliable patterns surround, are added as spans of kind ``other``; base spans stay.
+believed as far as its patterns are reliable (noisy or). Seeds are believed from the start. Tokens that no base
+match covers and reliable patterns surround, keys among them, are added as spans of kind ``other``; a key alone is no
+span. Base spans stay. Work is n log n in the matches of a text.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ INSTANCE = (
     rf"|@*+[^@{SPACE}]++@++[^@{SPACE}][^{SPACE}]*+)"
 )
 
-#: A token that is a seed by its form: hexadecimal digits, both figures and letters, in quotes or brackets or bare.
-KEY = r"^[\"'(\[{<=:]*+(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{32,}+[\"')\]}>.,;:!?]*+$"
+#: Quotes, brackets and marks around a token: two tokens that differ in them only are one; a span covers them.
+AROUND = "\"'()[]{}<>.,;:!?#%$&*|="
+#: A token that is a seed by its form, though no span by it: hexadecimal digits, both figures and letters.
+KEY = r"^(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{32,}+$"
 
 ROUNDS = 3
 LEAST_SUPPORT = 5  # different believed instances that a pattern needs
@@ -44,6 +47,17 @@ LEAST_BELIEF = 0.9  # belief from which an unseen token counts
 SPAN = "struct<kind:int,start:int,end:int>"
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used inside lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, op) -> Column:
+    """An array's running totals under an associative op, by doubling steps: n log n, where an aggregate that appends takes n squared."""
+    steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
+    return F.aggregate(steps, values, lambda acc, d: F.transform(acc, lambda x, i: F.when(i >= d, op(x, F.get(acc, i - d))).otherwise(x)))
+
+
 def located(text: Column, pattern: str) -> Column:
     """Matches of a pattern with their places: array of (match, before, two, after, start, end), code points, end exclusive.
 
@@ -51,26 +65,32 @@ def located(text: Column, pattern: str) -> Column:
     are the neighbouring words, two the two words before (empty where there is but one up to the match before).
     """
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    last = lambda piece: F.regexp_extract(piece, f"([^{SPACE}]++)[{SPACE}]*+$", 1)
-    pair = lambda piece: F.regexp_extract(piece, f"([^{SPACE}]++[{SPACE}]++[^{SPACE}]++)[{SPACE}]*+$", 1)
+    # Only the beginnings of words are tried, so that long words are read once.
+    last = lambda piece: F.regexp_extract(piece, f"(?<![^{SPACE}])([^{SPACE}]++)[{SPACE}]*+$", 1)
+    pair = lambda piece: F.regexp_extract(piece, f"(?<![^{SPACE}])([^{SPACE}]++[{SPACE}]++[^{SPACE}]++)[{SPACE}]*+$", 1)
     first = lambda piece: F.regexp_extract(piece, f"^[{SPACE}]*+([^{SPACE}]++)", 1)
     told = F.zip_with(
         F.arrays_zip(F.transform(pieces, F.length).alias("n"), F.transform(pieces, last).alias("before"), F.transform(pieces, pair).alias("two"), F.slice(F.transform(pieces, first), 2, F.size(pieces)).alias("after")),
         found,
         lambda p, m: F.struct(p["n"].alias("gap"), m.alias("match"), p["before"].alias("before"), p["two"].alias("two"), p["after"].alias("after")),
     )
-    return F.aggregate(
-        F.filter(told, lambda x: x["match"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<match:string,before:string,two:string,after:string,start:int,end:int>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["match"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct(x["match"], x["before"], x["two"], x["after"], (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["match"])).alias("end"))),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    told = F.filter(told, lambda x: x["match"].isNotNull())
+
+    def placed(rows: Column) -> Column:
+        ends = running(F.transform(rows, lambda x: x["gap"] + F.length(x["match"])), lambda x, y: x + y)
+        return F.zip_with(rows, ends, lambda x, end: F.struct(x["match"], x["before"], x["two"], x["after"], (end - F.length(x["match"])).alias("start"), end.alias("end")))
+
+    return bound(told, placed)
+
+
+def overlapped(spans: Column, base: Column) -> Column:
+    """For each of the spans (start, end), whether one of base overlaps it: the farthest end of those that start before its end, by one sorted sweep."""
+    event = lambda at, kind, end, i: F.struct(at.alias("at"), F.lit(kind).alias("kind"), end.alias("end"), i.alias("i"))
+    # Of equal places the span's end comes first, since ends are exclusive.
+    events = F.array_sort(F.concat(F.transform(base, lambda s: event(s["start"], 1, s["end"], F.lit(-1))), F.transform(spans, lambda s, i: event(s["end"], 0, F.lit(-1), i))))
+    swept = bound(events, lambda e: F.zip_with(e, running(F.transform(e, lambda x: x["end"]), F.greatest), lambda x, far: F.struct(x["i"].alias("i"), far.alias("far"))))
+    flags = F.array_sort(F.filter(swept, lambda x: x["i"] >= 0))
+    return F.zip_with(spans, flags, lambda s, x: x["far"] > s["start"])
 
 
 def _valid(kind: str, match: Column) -> Column:
@@ -103,20 +123,22 @@ def base_spans(text: Column) -> Column:
 def instances(text: Column, base: Column) -> Column:
     """Identifier-like tokens with their contexts, whether a base span overlaps them, and whether they look like a key."""
     none = F.array().cast("array<struct<token:string,before:string,two:string,after:string,start:int,end:int,covered:boolean,key:boolean>>")
-    found = F.transform(
-        located(text, INSTANCE),
-        lambda x: F.struct(
-            F.lower(x["match"]).alias("token"), F.lower(x["before"]).alias("before"), F.lower(x["two"]).alias("two"), F.lower(x["after"]).alias("after"), x["start"].alias("start"), x["end"].alias("end"),
-            F.exists(base, lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"])).alias("covered"), x["match"].rlike(KEY).alias("key"),
-        ),
-    )
-    return F.when(text.rlike("[0-9@]"), found).otherwise(none)
+
+    def stripped(x: Column) -> Column:
+        bare = F.rtrim(F.ltrim(x["match"], F.lit(AROUND)), F.lit(AROUND))
+        return F.struct(F.lower(bare).alias("token"), F.lower(x["before"]).alias("before"), F.lower(x["two"]).alias("two"), F.lower(x["after"]).alias("after"), x["start"], x["end"], bare.rlike(KEY).alias("key"))
+
+    marked = bound(
+        F.filter(F.transform(located(text, INSTANCE), stripped), lambda x: x["token"] != ""),
+        lambda found: F.zip_with(found, overlapped(found, base), lambda x, covered: F.struct(x["token"], x["before"], x["two"], x["after"], x["start"], x["end"], covered.alias("covered"), x["key"])),
+    )
+    return F.when(text.rlike("[0-9@]"), marked).otherwise(none)
 
 
 def learned_spans(found: DataFrame, scratch: Scratch) -> DataFrame:
     """(row_key, extra: sorted array of spans) for rows of (row_key, seen: array of instances), by bootstrapping.
 
-    A row whose instances are no keys and which no reliable pattern surrounds is left out. No instances: no rows.
+    A row with no instance that a reliable pattern surrounds is left out. No instances: no rows.
     """
     seen = scratch.keep(found.select("row_key", F.explode("seen").alias("x")).select("row_key", "x.*").distinct().withColumn("seed", F.col("covered") | F.col("key")), "instances")
     contexts = F.array(F.concat(F.lit("<"), "before"), F.concat(F.lit("<<"), F.regexp_replace("two", f"[{SPACE}]++", " ")), F.concat(F.lit(">"), "after"))
@@ -129,11 +151,10 @@ def learned_spans(found: DataFrame, scratch: Scratch) -> DataFrame:
         reliable = scratch.keep(scored.filter((F.col("support") >= LEAST_SUPPORT) & (F.col("reliability") >= LEAST_RELIABILITY)), f"reliable-{turn}")
         doubt = edges.select("pattern", "token").join(reliable, "pattern").groupBy("token").agg(F.sum(F.log(1 - F.least("reliability", F.lit(0.999)))).alias("doubt"))
         beliefs = scratch.keep(seeds.join(doubt, "token", "left").select("token", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp(F.coalesce("doubt", F.lit(0.0)))).alias("belief"), "seed"), f"beliefs-{turn}")
-    keys = seen.filter("key and not covered").select("row_key", "start", "end")
-    open_ends = seen.filter("not seed").select("row_key", "start", "end", sides).join(reliable, "pattern")
+    open_ends = seen.filter("not covered").select("row_key", "start", "end", sides).join(reliable, "pattern")
     spoken = open_ends.groupBy("row_key", "start", "end").agg(F.sum(F.log(1 - F.least("reliability", F.lit(0.999)))).alias("doubt")).filter(1 - F.exp("doubt") >= LEAST_BELIEF)
     extra = F.array_sort(F.collect_set(F.struct(F.lit(len(KINDS)).alias("kind"), "start", "end"))).alias("extra")
-    return scratch.keep(spoken.select("row_key", "start", "end").unionByName(keys).groupBy("row_key").agg(extra), "extra")
+    return scratch.keep(spoken.groupBy("row_key").agg(extra), "extra")
 
 
 def _written(spans: Column) -> Column:
@@ -167,19 +188,31 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     found = find(docs, id_col, text_col).filter(F.size("found") > 0).select(F.col("row_key").alias(key), F.col("found").alias(spans)).dropDuplicates([key])
     text, names = F.col(text_col), F.lit([k.upper() for k in (*KINDS, OTHER)])
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    cut = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.get(names, s["kind"]), F.lit("]"))))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
-    )
+
+    def rewritten(x: Column) -> Column:
+        """x: the text in blocks, the spans in order, and how far they reach up to each."""
+        part = lambda low, high: _cut(x["blocks"], low, high)
+        reach = F.concat(F.array(F.lit(0)), x["ends"])
+        pieces = F.zip_with(x["spans"], F.slice(reach, 1, F.size(x["spans"])), lambda s, at: F.when(s["start"] >= at, F.concat(part(at, s["start"]), F.lit("["), F.get(names, s["kind"]), F.lit("]"))).otherwise(""))
+        return F.concat(F.array_join(pieces, ""), part(F.element_at(reach, -1), F.length(text)))
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    held = bound(ordered, lambda o: F.struct(blocks.alias("blocks"), o.alias("spans"), running(F.transform(o, lambda s: s["end"]), F.greatest).alias("ends")))
+    cut = bound(held, rewritten)
     joined = docs.withColumn(key, row_key(id_col, text_col)).join(_sized(found, spans), key, "left")
     return joined.withColumn(text_col, F.when(F.col(spans).isNotNull(), cut).otherwise(text)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+BLOCK = 1024  # code points
+
+
+def _cut(blocks: Column, low: Column, high: Column) -> Column:
+    """The code points from low up to high of a text in BLOCKs: only the blocks that hold them are read."""
+    first, last = F.floor(low / BLOCK).cast("int"), F.floor((high - 1) / BLOCK).cast("int")
+    held = F.array_join(F.slice(blocks, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return F.when(high <= low, "").otherwise(F.substring(held, low - first * BLOCK + 1, high - low))
+
+
 def _sized(found: DataFrame, spans: str) -> DataFrame:
     """found with a broadcast hint if its keys and spans, measured, are small enough."""
     size = found.agg(F.sum(32 + 12 * F.size(spans)).alias("bytes")).first()["bytes"] or 0
