@@ -47,8 +47,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that arrive in ARRIVALS runs, compacted, and read again through the last manifest."""
     docs = table(spark, sf_dir, "documents")
     store = shards.ShardStore(spark, Scratch(spark).root)
-    for run in range(ARRIVALS):
-        store.append(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == run))
+    store.append_each(docs, F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)))
     store.compact(docs.schema)
     rows = store.read(docs.schema)
     return rows.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))

@@ -3,13 +3,16 @@
 A store is a folder: data/ holds the shards of each run, manifests/ one table of files per version, commits/
 one small file per version that names its manifest. Arrivals are appended as runs of small shards. Whenever
 a size tier holds FANOUT files or more, they are merged into files of the target size, which belong to
-a higher tier. A commit renames a whole file to its version's name only if nobody else has: readers see a
-whole version or the one before, and a job that dies leaves files that no manifest names. Every version
+a higher tier. A commit renames a whole file to its version's name only if nobody else has (file systems whose
+rename refuses an existing name; on object stores this takes one writer at a time): readers see a
+whole version or the one before, a writer that was beaten tries again on top, and a job that dies leaves files
+that no manifest names, which vacuum() finds by their age. Every version
 can be read until vacuum() forgets it.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,7 +100,31 @@ class ShardStore:
         new = self._described(path, arrivals.schema)
         if not new.limit(1).count():
             return before
-        return self._commit(self.manifest(before).unionByName(new), before)
+        return self._publish(lambda files: files.unionByName(new))
+
+    def append_each(self, arrivals: DataFrame, by: Column) -> int:
+        """Add arrivals as runs, one per value of ``by`` in ascending order, each under a commit of its own; rows are read and written once."""
+        name, run = unused("__arrival", arrivals), uuid.uuid4().hex
+        path, told = f"{self.root}/data/{run}", f"{self.root}/arrivals/{run}"
+        arrivals.withColumn(name, by).write.partitionBy(name).parquet(path)
+        self._described(path, arrivals.schema).withColumn("run", F.regexp_extract("path", f"/{name}=([^/]*)/", 1)).write.parquet(told)
+        files = self.spark.read.schema(MANIFEST + ", run string").parquet(told)
+        version = self.version()
+        for (value,) in sorted(files.select("run").distinct().collect(), key=lambda r: (len(r[0]), r[0])):  # one row per run
+            new = files.filter(F.col("run") == value).drop("run")
+            version = self._publish(lambda old, new=new: old.unionByName(new))
+        self._fs.delete(self._path(told), True)
+        return version
+
+    def _publish(self, change) -> int:
+        """Commit what change makes of the last manifest; where another writer was first, make it anew on top of theirs."""
+        while True:
+            before = self.version()
+            try:
+                return self._commit(change(self.manifest(before)), before)
+            except Exception:
+                if self.version() == before:
+                    raise
 
     def compact(self, schema) -> int:
         """Merge, lowest tier first, until no tier below the target holds fanout files or more. Returns the version."""
@@ -116,22 +143,38 @@ class ShardStore:
             if count >= full[0]["n"]:
                 count = max(1, full[0]["n"] // self.fanout)
             self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths).coalesce(count).write.parquet(out)
-            kept = files.join(F.broadcast(merged.select("path")), "path", "left_anti").select(files.columns)
+            kept = files.join(merged.select("path"), "path", "left_anti").select(files.columns)
             new = self._described(out, schema)
             # A merge always rises, so that compaction ends even where files shrink.
             new = new.withColumn("tier", F.greatest("tier", F.lit(full[0]["tier"] + 1)))
-            self._commit(kept.unionByName(new), before)
-
-    def vacuum(self, keep: int = 1) -> None:
-        """Forget all versions but the last ``keep`` (at least one), with the shards that only they name; their readers must have ended."""
+            try:
+                self._commit(kept.unionByName(new), before)
+            except Exception:
+                if self.version() == before:
+                    raise  # else another writer was first: look again at what there is to merge
+
+    def vacuum(self, keep: int = 1, dead_after: float = 86400.0) -> None:
+        """Forget all versions but the last ``keep`` (at least one), with the shards that only they name; their readers must have ended.
+
+        Runs and manifests that no kept version names and that are older than ``dead_after`` seconds are of dead or
+        beaten writers and go too; younger ones may belong to a writer at work.
+        """
         known = self._versions() if self.version() else []
-        old, kept = ([self._named(v) for v in part] for part in (known[: -max(1, keep)], known[-max(1, keep) :]))
-        if not old:
+        if not known:
             return
+        old, kept = ([self._named(v) for v in part] for part in (known[: -max(1, keep)], known[-max(1, keep) :]))
         paths = lambda names: self.spark.read.schema(MANIFEST).parquet(*names).select("path").distinct()
-        gone = [r["path"] for r in paths(old).join(paths(kept), "path", "left_anti").collect()]  # names of files, no data
+        gone = [r["path"] for r in paths(old).join(paths(kept), "path", "left_anti").collect()] if old else []  # names of files, no data
         for p in [*(f"{self.root}/commits/{v:012d}" for v in known[: len(old)]), *old, *gone]:
             self._fs.delete(self._path(p), True)
+        runs = paths(kept).select(F.regexp_extract("path", "/data/([0-9a-f]{32})/", 1)).distinct()
+        used = {r[0] for r in runs.collect()} | {n.rpartition("/")[2] for n in kept}  # names of runs
+        youngest = time.time() - dead_after
+        for folder in ("data", "manifests", "arrivals"):
+            at = self._path(f"{self.root}/{folder}")
+            for status in self._fs.listStatus(at) if self._fs.exists(at) else []:
+                if status.getPath().getName() not in used and status.getModificationTime() / 1000 <= youngest:
+                    self._fs.delete(status.getPath(), True)
 
     def read(self, schema, version: int | None = None, shard: bool = False) -> DataFrame:
         """Rows of a version; if asked, with the shard's path, bytes and tier as __shard (a struct; a column of that name is replaced)."""
@@ -142,4 +185,4 @@ class ShardStore:
         if not shard:
             return rows
         path = F.col("_metadata.file_path") if paths else F.lit("")
-        return rows.select("*", path.alias("path")).join(F.broadcast(told), "path").drop("path")
+        return rows.select("*", path.alias("path")).join(told, "path").drop("path")
