@@ -6,7 +6,6 @@ What cannot be decoded is not dropped silently: each decoder has a part for quar
 
 from __future__ import annotations
 
-import importlib
 from decimal import Decimal
 
 import pyarrow as pa
@@ -27,6 +26,7 @@ OPERATIONS = pa.list_(pa.struct([
     ("operation", pa.string()), ("entity_key", pa.binary()), ("btl", _NUMBER), ("content_type", pa.string()), ("data", pa.binary()), ("new_owner", pa.binary()), *_PAIRS.items(),
 ]))
 ZERO_WORD = bytes(32)
+UNPACKED = 64 << 20  # bytes that one payload may unpack to
 
 
 def _key(item: list | bytes, size: int = 32) -> bytes:
@@ -67,16 +67,27 @@ def read_storage_tx(payload: bytes) -> list[dict]:
     return out
 
 
+def _unpacked(payload: bytes, codec: str) -> bytes:
+    with pa.CompressedInputStream(pa.BufferReader(payload), codec) as stream:
+        out = stream.read(UNPACKED + 1)
+    if len(out) > UNPACKED:
+        raise ValueError(f"unpacks to more than {UNPACKED} bytes")
+    return out
+
+
 def decode_storage_tx(transactions: DataFrame, input_col: str = "input", compression: str | None = "brotli") -> DataFrame:
     """transactions with operations (array of structs, null if the payload cannot be decoded) and error (text, else null).
 
-    ``compression`` names a module with decompress(bytes); None takes payloads as they are. A null input is an error.
+    ``compression`` names a codec of Arrow; None takes payloads as they are. A null input is an error, as are payloads
+    that are cut short or unpack to more than UNPACKED bytes.
     """
+    if compression and not pa.Codec.is_available(compression):
+        raise ValueError(f"Arrow has no codec {compression}")
     operations = T.ArrayType(T.StructType.fromDDL(OPERATION))
     schema = T.StructType([*transactions.schema.fields, T.StructField("operations", operations), T.StructField("error", T.StringType())])
 
     def run(batches):
-        unpack = importlib.import_module(compression).decompress if compression else bytes
+        unpack = (lambda payload: _unpacked(payload, compression)) if compression else bytes
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part, found, errors = batch.slice(at, 1024), [], []

@@ -7,6 +7,7 @@ that every part of their order counts.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +50,19 @@ def payloads(x: Ledger) -> DataFrame:
     return lists.select(word("tx_no").alias("tx_hash"), "tx_no", "largest", whole.alias("input"))
 
 
+def packed(rows: DataFrame, codec: str = "brotli") -> DataFrame:
+    """rows with compressed inputs, as they are sent."""
+
+    def run(batches):
+        for batch in batches:
+            inputs = [v if v is None else pa.compress(v, codec=codec, asbytes=True) for v in batch.column("input").to_pylist()]
+            yield batch.set_column(batch.schema.get_field_index("input"), "input", pa.array(inputs, pa.binary()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def operations(x: Ledger) -> DataFrame:
-    return decode.explode_operations(decode.decode_storage_tx(payloads(x), compression=None))
+    return decode.explode_operations(decode.decode_storage_tx(packed(payloads(x))))
 
 
 def _number(data: Column | str) -> Column:
