@@ -10,7 +10,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from strandbook.llm import conversation_repair, filter_audit, language_id, queries
+from strandbook.llm import conversation_repair, filter_audit, language_id
+from strandbook.llm import queries_11_13 as queries
 from strandbook.llm.common import Scratch
 
 DIR = "/root/testdata/sf0.001"
@@ -48,6 +49,12 @@ def audit_by_hand(docs, labels):
     return out
 
 
+def test_audit_equals_sql(spark):
+    from compare import connect, differences
+
+    assert differences(queries.op11_filter_audit(spark, DIR), connect(DIR), queries.ORACLES["op11_filter_audit"]) is None
+
+
 @pytest.mark.parametrize("heap", [0, 1 << 30])
 def test_later_smaller_ids_retract_earlier_masks(spark, tmp_path, monkeypatch, heap):
     monkeypatch.setattr(filter_audit, "HEAP_STATE_BYTES", heap)  # 0: the state on disk
