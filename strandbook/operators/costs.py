@@ -90,6 +90,39 @@ def plain(text90: Column) -> Column:
     return F.when(bare == "", "0").otherwise(bare)
 
 
+HALF = 10**15
+HALVES = ("h0", "h1", "h2", "h3", "h4", "h5")
+
+
+def halves_of_word(word: Column) -> Column:
+    """A big-endian 32-byte word as six digits of base 10**15, each in a decimal(28, 0): sums of them are exact for 10**22 rows."""
+    half = F.lit(HALF).cast("decimal(38,0)")
+    limbs = limbs_of_word(word)
+
+    def split(x):
+        parts = [p for n in LIMBS for p in (x[n] % half, _whole(x[n], half))]
+        return F.struct(*(p.cast("decimal(28,0)").alias(h) for p, h in zip(parts, HALVES)))
+
+    # transform() evaluates the limbs once for all six.
+    return F.transform(F.array(limbs), split)[0]
+
+
+def carry_halves(halves: list[Column]) -> Column:
+    """The decimal text of summed digits of base 10**15, saturated at 2**256 - 1."""
+    half = F.lit(HALF).cast("decimal(38,0)")
+    start = F.struct(F.lit("").alias("text"), F.lit(0).cast("decimal(38,0)").alias("over"))
+
+    def step(acc, digit):
+        here = (digit + acc["over"]).cast("decimal(38,0)")
+        return F.struct(F.concat(F.lpad((here % half).cast("decimal(15,0)").cast("string"), 15, "0"), acc["text"]).alias("text"), _whole(here, half).alias("over"))
+
+    def finish(acc):
+        top = F.lit(str(TOP).zfill(90))
+        return plain(F.when(acc["over"] > 0, top).otherwise(F.least(acc["text"], top)))
+
+    return F.aggregate(F.array(*halves), start, step, finish)
+
+
 def event_cost(topic: Column, data: Column, created: bytes, updated: bytes, extended: bytes) -> Column:
     """Cost word of a log: the second word of created events, the third of the others; null (quarantine) for anything else."""
     return F.when((topic == F.lit(created)) & (F.octet_length(data) >= 64), F.substring(data, 33, 32)).when(topic.isin(updated, extended) & (F.octet_length(data) >= 96), F.substring(data, 65, 32))

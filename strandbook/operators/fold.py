@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 from pyspark.sql.window import Window as W
 
 from . import costs
@@ -17,7 +18,13 @@ SETTERS = ("create", "update", "delete")
 
 
 def history(ops: DataFrame) -> DataFrame:
-    """One row per operation with the entity's state after it and before it; a content type is carried as the data are."""
+    """One row per operation with the entity's state after it and before it; a content type is carried as the data are.
+
+    Costs that are words of 32 bytes are summed in segments, to decimal text; bigint costs to bigint, which fails on overflow.
+    """
+    wide = isinstance(ops.schema["cost"].dataType, BinaryType)
+    if wide:
+        ops = total_cost_in_segments(ops)
     w = W.partitionBy("entity_key").orderBy(*POSITION)
     run = w.rowsBetween(W.unboundedPreceding, 0)
     segment = W.partitionBy("entity_key", "segment").orderBy(*POSITION)
@@ -28,7 +35,8 @@ def history(ops: DataFrame) -> DataFrame:
     df = df.withColumn("status", F.when(expired, "expired").when(op == "delete", "deleted").otherwise("active"))
     owner = F.when(expired, None).when(op == "changeowner", F.col("new_owner")).otherwise(F.col("sender"))
     df = df.withColumn("owner", F.last(owner, ignorenulls=True).over(run))
-    df = df.withColumn("total_cost", F.sum(F.coalesce("cost", F.lit(0))).over(run))
+    if not wide:
+        df = df.withColumn("total_cost", F.sum(F.coalesce("cost", F.lit(0))).over(run))
     started = F.col("segment") > 0
     base = F.when(op == "delete", F.col("block_number")).when(op.isin("create", "update"), F.col("block_number") + F.col("btl"))
     longer = F.sum(F.when(op == "extend", F.col("btl")).otherwise(0)).over(so_far)
@@ -54,6 +62,30 @@ def total_cost_wide(ops: DataFrame, cost_word: str = "cost_word") -> DataFrame:
     return sums.select("entity_key", *POSITION, costs.plain(costs.carry(*(F.col(f"__{n}") for n in costs.LIMBS))).alias("total_cost"))
 
 
+def total_cost_in_segments(ops: DataFrame, cost: str = "cost", segments: int = 64, name: str = "total_cost") -> DataFrame:
+    """ops with the running sum of 256-bit costs (words of 32 bytes, null: 0) as decimal text, saturated at 2**256 - 1.
+
+    The blocks from the first to the last are cut into ``segments`` parts of one width. Sums run within an entity's
+    segment; one total a segment is carried on to the later ones. So an entity with a third of all rows is summed by as
+    many tasks as it has segments, and what one task sorts of it for the carry is a row a segment. Digits have base 10**15
+    in decimals of 38: no sum of up to 10**22 rows overflows. Rows without a block number make the first segment.
+    """
+    ends = ops.agg(F.min("block_number").alias("__low"), F.max("block_number").alias("__high"))
+    # The last segment ends after the last block; one row of two numbers is broadcast.
+    segment = F.expr(f"least((block_number - __low) div greatest((__high - __low) div {segments} + 1, 1), {segments - 1})")
+    cut = ops.crossJoin(F.broadcast(ends)).withColumn("__segment", F.coalesce(segment, F.lit(-1).cast("bigint"))).drop("__low", "__high")
+    cut = cut.withColumn("__halves", costs.halves_of_word(F.coalesce(F.col(cost), F.lit(bytes(32)))))
+    within = W.partitionBy("entity_key", "__segment").orderBy(*POSITION).rowsBetween(W.unboundedPreceding, 0)
+    add = lambda h: F.sum(F.col("__halves")[h])
+    summed = cut.select(*ops.columns, "__segment", *(add(h).over(within).cast("decimal(38,0)").alias(f"__{h}") for h in costs.HALVES))
+    totals = cut.groupBy("entity_key", "__segment").agg(*(add(h).cast("decimal(38,0)").alias(h) for h in costs.HALVES))
+    ahead = W.partitionBy("entity_key").orderBy("__segment").rowsBetween(W.unboundedPreceding, -1)
+    carried = totals.select("entity_key", "__segment", *(F.coalesce(F.sum(h).over(ahead), F.lit(0)).cast("decimal(38,0)").alias(h) for h in costs.HALVES))
+    joined = summed.alias("s").join(carried.alias("c"), F.col("s.entity_key").eqNullSafe(F.col("c.entity_key")) & (F.col("s.__segment") == F.col("c.__segment")))
+    total = costs.carry_halves([(F.col(f"s.__{h}") + F.col(f"c.{h}")).cast("decimal(38,0)") for h in costs.HALVES])
+    return joined.select(*(F.col(f"s.`{c}`") for c in ops.columns), total.alias(name))
+
+
 def with_expiry_seconds(history: DataFrame, seconds_per_block: int = 2) -> DataFrame:
     """Expiry as a time: block time plus the distance; the saturating variant never lies before the block; null on overflow."""
     apart = F.try_multiply(F.try_subtract(F.col("expires_at_block"), F.col("block_number")), F.lit(seconds_per_block).cast("bigint"))

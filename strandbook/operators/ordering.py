@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -46,6 +48,58 @@ def running_sum(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
     return summed.select(*df.columns, name)
 
 
+def followed(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """df with the ``value`` of the row that follows in the order of all rows; null on the last.
+
+    Within a range the next row tells it; the last row of a range takes the first value of the next range that has rows.
+    """
+    cut = _ranged(df, [F.asc(c) for c in order])
+    firsts = cut.groupBy("__part").agg(F.min_by(F.struct(F.col(value).alias("v")), "__at").alias("__head"))
+    heads = firsts.select("__part", F.lead("__head").over(W.orderBy("__part")).alias("__head"))  # one row a range
+    inner = F.lead(F.struct(F.col(value).alias("v"))).over(W.partitionBy("__part").orderBy("__at"))
+    led = cut.withColumn("__next", inner).join(F.broadcast(heads), "__part", "left")
+    return led.withColumn(name, F.coalesce("__next", "__head")["v"]).select(*df.columns, name)
+
+
+class Pages:
+    """A table stored in the order of its pages: ranges of about ``rows_a_range`` rows in folders of their own, and how many rows lie before each.
+
+    A page reads the ranges that it lies in, one or two, however deep it is. What reaches the driver is one number
+    per range. ``order`` must be total, or pages of equal rows differ from one writing to the next.
+    """
+
+    def __init__(self, df: DataFrame, order: list[Column | str], rows_a_range: int = 1 << 20):
+        scratch = Scratch(df.sparkSession)
+        held = scratch.keep(df, "rows")
+        parts = max(1, -(-held.count() // rows_a_range))
+        ranged = held.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+        cut = ranged.withColumn("__part", F.shiftright("__id", ROWS_A_PART)).withColumn("__at", F.col("__id").bitwiseAND(F.lit((1 << ROWS_A_PART) - 1))).drop("__id")
+        self.columns, self.path, self.schema = df.columns, f"{scratch.root}/pages", cut.schema
+        cut.write.partitionBy("__part").parquet(self.path)
+        scratch.drop("rows")
+        self.spark, self.before, self.total = df.sparkSession, [], 0
+        for part, n in sorted(tuple(r) for r in self._read().groupBy("__part").count().collect()):
+            self.before.append((part, self.total, n))
+            self.total += n
+
+    def _read(self, *parts: int) -> DataFrame:
+        paths = [f"{self.path}/__part={p}" for p in parts] or [self.path]
+        return self.spark.read.schema(self.schema).option("basePath", self.path).parquet(*paths)
+
+    def page(self, page: int = 1, size: int = 100) -> DataFrame:
+        """As ``paginate``: one page with total_items and total_pages."""
+        page, size = max(1, page), min(max(1, size), 100)
+        first, last = (page - 1) * size, page * size
+        met = [(p, before) for p, before, n in self.before if before < last and before + n > first]
+        if not met:
+            rows = self.spark.createDataFrame([], self.schema)
+        else:
+            # Rows of each range that the page takes, by their places in it.
+            inside = [(F.col("__part") == p) & F.col("__at").between(first - before, last - before - 1) for p, before in met]
+            rows = self._read(*(p for p, _ in met)).filter(inside[0] if len(inside) == 1 else functools.reduce(Column.__or__, inside)).orderBy("__part", "__at")
+        return rows.select(*self.columns, F.lit(self.total).cast("bigint").alias("total_items"), F.lit(-(-self.total // size)).cast("bigint").alias("total_pages"))
+
+
 def paginate(df: DataFrame, order: list[Column | str], page: int = 1, size: int = 100) -> DataFrame:
     """One page (page at least 1, size 1 to 100) with total_items and total_pages."""
     page, size = max(1, page), min(max(1, size), 100)

@@ -1,8 +1,8 @@
 """All queries of the ledger library and their SQL."""
 
-from .plans import catalog, raw, sql
+from .plans import catalog, raw, sql, stored
 
-QUERIES = catalog.QUERIES | raw.QUERIES
-ORACLES = sql.ORACLES | raw.ORACLES
+QUERIES = catalog.QUERIES | raw.QUERIES | stored.QUERIES
+ORACLES = sql.ORACLES | raw.ORACLES | stored.ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]

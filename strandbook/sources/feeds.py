@@ -27,6 +27,11 @@ def topic_logs(logs: DataFrame, topics: list) -> DataFrame:
     return logs.filter(F.col("first_topic").isin(topics)).select("tx_hash", "block_hash", "index", "first_topic")
 
 
+def pending_bridge_logs(logs: DataFrame, topics: list, done: DataFrame) -> DataFrame:
+    """Logs with one of the bridge's topics whose (tx_hash, index) is not done, with their position; ``route_bridge_logs`` takes them in any order."""
+    return logs.filter(F.col("first_topic").isin(topics)).join(done.select("tx_hash", "index").distinct(), ["tx_hash", "index"], "left_anti")
+
+
 def orphaned(before: DataFrame, after: DataFrame) -> DataFrame:
     """Transactions that were in a block and are in none any more."""
     return before.filter("block_hash is not null").select("tx_hash").join(after.filter("block_hash is null").select("tx_hash"), "tx_hash", "left_semi")

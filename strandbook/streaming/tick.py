@@ -197,6 +197,33 @@ class Ledger:
         """The view of hourly operations by kind, from the stored hours."""
         return self.tables["hourly"].read(number).groupBy("hour", "operation").agg(F.sum("n").alias("n"))
 
+    def _at(self, name: str, keys: DataFrame, column: str, number: int | None) -> DataFrame:
+        """Rows of a table whose ``column`` is among keys, from the buckets of those keys."""
+        buckets = buckets_of(keys, F.pmod(F.xxhash64(column), F.lit(self.buckets)))
+        table = self.tables[name]
+        return self.store.read(name, table.schema, number, buckets).join(keys.select(column).distinct(), column, "left_semi")
+
+    def get_entity(self, keys: DataFrame, number: int | None = None) -> DataFrame:
+        """The snapshot rows of keys (entity_key), as of a commit."""
+        return self._at("snapshot", keys, "entity_key", number)
+
+    def get_entity_history(self, keys: DataFrame, number: int | None = None) -> DataFrame:
+        """The history rows of keys (entity_key), in order."""
+        return self._at("history", keys, "entity_key", number).orderBy("entity_key", *fold.POSITION)
+
+    def _by_position(self, name: str, positions: DataFrame, number: int | None) -> DataFrame:
+        number = self.store.last() if number is None else number  # both tables as of one commit
+        places = self._at("by_tx", positions, "tx_hash", number).join(positions.select(*KEY).distinct(), KEY, "left_semi")
+        return self._at(name, places, "entity_key", number).join(places, [*KEY, "entity_key"], "left_semi")
+
+    def get_operation(self, positions: DataFrame, number: int | None = None) -> DataFrame:
+        """Operations at positions (tx_hash, op_index): the buckets of their transactions tell those of their entities."""
+        return self._by_position("log", positions, number)
+
+    def get_entity_operation(self, positions: DataFrame, number: int | None = None) -> DataFrame:
+        """History rows at positions (tx_hash, op_index)."""
+        return self._by_position("history", positions, number)
+
     def run(self, stream: DataFrame, checkpoint: str, every: str | None = None):
         """Start the stream; without ``every`` (an interval) it takes what is there and ends."""
         writer = stream.writeStream.foreachBatch(self.tick).option("checkpointLocation", checkpoint)
