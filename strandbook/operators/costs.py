@@ -90,37 +90,41 @@ def plain(text90: Column) -> Column:
     return F.when(bare == "", "0").otherwise(bare)
 
 
-HALF = 10**15
-HALVES = ("h0", "h1", "h2", "h3", "h4", "h5")
+DIGITS = 8  # of base 2**32 in a word
+NINE = 10**9
 
 
-def halves_of_word(word: Column) -> Column:
-    """A big-endian 32-byte word as six digits of base 10**15, each in a decimal(28, 0): sums of them are exact for 10**22 rows."""
-    half = F.lit(HALF).cast("decimal(38,0)")
-    limbs = limbs_of_word(word)
+def digits_of_word(word: Column) -> list[Column]:
+    """The eight digits of base 2**32 of a big-endian 32-byte word, the least first, as decimal(28, 0): sums of them are exact for 10**18 rows."""
+    return [F.conv(F.hex(F.substring(word, 29 - 4 * i, 4)), 16, 10).cast("decimal(28,0)") for i in range(DIGITS)]
 
-    def split(x):
-        parts = [p for n in LIMBS for p in (x[n] % half, _whole(x[n], half))]
-        return F.struct(*(p.cast("decimal(28,0)").alias(h) for p, h in zip(parts, HALVES)))
 
-    # transform() evaluates the limbs once for all six.
-    return F.transform(F.array(limbs), split)[0]
+def text_of_digits(digits: list[Column]) -> Column:
+    """The decimal text of summed digits, saturated at 2**256 - 1: one carry, then to base 10**9 in bigints (10**9 * 2**32 fits one)."""
+    base = 2**32
 
+    def carry(acc, digit):
+        here = (digit + acc["over"]).cast("decimal(38,0)")
+        return F.struct(F.concat(acc["out"], F.array((here % base).cast("bigint"))).alias("out"), _floor(here, base).alias("over"))
 
-def carry_halves(halves: list[Column]) -> Column:
-    """The decimal text of summed digits of base 10**15, saturated at 2**256 - 1."""
-    half = F.lit(HALF).cast("decimal(38,0)")
-    start = F.struct(F.lit("").alias("text"), F.lit(0).cast("decimal(38,0)").alias("over"))
+    def _floor(a, b):
+        return F.call_function("div", a, F.lit(b).cast("decimal(38,0)"))
 
-    def step(acc, digit):
-        here = (digit + acc["over"]).cast("decimal(38,0)")
-        return F.struct(F.concat(F.lpad((here % half).cast("decimal(15,0)").cast("string"), 15, "0"), acc["text"]).alias("text"), _whole(here, half).alias("over"))
+    def shifted(acc, digit):
+        def step(s, nine):
+            here = nine * base + s["over"]
+            return F.struct(F.concat(s["out"], F.array(here % NINE)).alias("out"), F.call_function("div", here, F.lit(NINE).cast("bigint")).alias("over"))
+
+        return F.aggregate(acc, F.struct(none.alias("out"), digit.alias("over")), step, lambda s: s["out"])
+
+    none, zero = F.array().cast("array<bigint>"), F.lit(0).cast("bigint")
 
     def finish(acc):
-        top = F.lit(str(TOP).zfill(90))
-        return plain(F.when(acc["over"] > 0, top).otherwise(F.least(acc["text"], top)))
+        nines = F.aggregate(F.reverse(acc["out"]), F.array_repeat(zero, 9), shifted)
+        text = F.array_join(F.transform(F.reverse(nines), lambda n: F.lpad(n.cast("string"), 9, "0")), "")
+        return F.when(acc["over"] > 0, str(TOP)).otherwise(plain(text))
 
-    return F.aggregate(F.array(*halves), start, step, finish)
+    return F.aggregate(F.array(*digits), F.struct(none.alias("out"), zero.alias("over")), carry, finish)
 
 
 def event_cost(topic: Column, data: Column, created: bytes, updated: bytes, extended: bytes) -> Column:

@@ -52,14 +52,8 @@ def history(ops: DataFrame) -> DataFrame:
 
 
 def total_cost_wide(ops: DataFrame, cost_word: str = "cost_word") -> DataFrame:
-    """entity_key, POSITION and total_cost as decimal text: running sums of 256-bit costs (words of 32 bytes, null: 0), saturated at 2**256 - 1.
-
-    Limbs of 30 digits are summed in decimals of 38 and carried once: exact for 10**8 operations of one entity.
-    """
-    run = W.partitionBy("entity_key").orderBy(*POSITION).rowsBetween(W.unboundedPreceding, 0)
-    limbs = ops.withColumn("__limbs", costs.limbs_of_word(F.coalesce(F.col(cost_word), F.lit(bytes(32)))))
-    sums = limbs.select("entity_key", *POSITION, *(F.sum(F.col("__limbs")[n]).over(run).cast("decimal(38,0)").alias(f"__{n}") for n in costs.LIMBS))
-    return sums.select("entity_key", *POSITION, costs.plain(costs.carry(*(F.col(f"__{n}") for n in costs.LIMBS))).alias("total_cost"))
+    """entity_key, POSITION and total_cost as decimal text: running sums of 256-bit costs, as in ``total_cost_in_segments``."""
+    return total_cost_in_segments(ops.select("entity_key", *POSITION, cost_word), cost_word).drop(cost_word)
 
 
 def total_cost_in_segments(ops: DataFrame, cost: str = "cost", segments: int = 64, name: str = "total_cost") -> DataFrame:
@@ -67,22 +61,23 @@ def total_cost_in_segments(ops: DataFrame, cost: str = "cost", segments: int = 6
 
     The blocks from the first to the last are cut into ``segments`` parts of one width. Sums run within an entity's
     segment; one total a segment is carried on to the later ones. So an entity with a third of all rows is summed by as
-    many tasks as it has segments, and what one task sorts of it for the carry is a row a segment. Digits have base 10**15
-    in decimals of 38: no sum of up to 10**22 rows overflows. Rows without a block number make the first segment.
+    many tasks as it has segments, and what one task sorts of it for the carry is a row a segment. Digits have base 2**32
+    in decimals of 38: no sum of up to 10**18 rows overflows. Rows without a block number make the first segment.
     """
     ends = ops.agg(F.min("block_number").alias("__low"), F.max("block_number").alias("__high"))
     # The last segment ends after the last block; one row of two numbers is broadcast.
-    segment = F.expr(f"least((block_number - __low) div greatest((__high - __low) div {segments} + 1, 1), {segments - 1})")
-    cut = ops.crossJoin(F.broadcast(ends)).withColumn("__segment", F.coalesce(segment, F.lit(-1).cast("bigint"))).drop("__low", "__high")
-    cut = cut.withColumn("__halves", costs.halves_of_word(F.coalesce(F.col(cost), F.lit(bytes(32)))))
+    segment = F.expr(f"if(block_number is null, -1L, least((block_number - __low) div greatest((__high - __low) div {segments} + 1, 1), {segments - 1}))")
+    cut = ops.crossJoin(F.broadcast(ends)).withColumn("__segment", segment).drop("__low", "__high")
+    names = [f"__digit{i}" for i in range(costs.DIGITS)]
+    digits = costs.digits_of_word(F.coalesce(F.col(cost), F.lit(bytes(32))))
+    cut = cut.select("*", *(d.alias(n) for d, n in zip(digits, names)))
     within = W.partitionBy("entity_key", "__segment").orderBy(*POSITION).rowsBetween(W.unboundedPreceding, 0)
-    add = lambda h: F.sum(F.col("__halves")[h])
-    summed = cut.select(*ops.columns, "__segment", *(add(h).over(within).cast("decimal(38,0)").alias(f"__{h}") for h in costs.HALVES))
-    totals = cut.groupBy("entity_key", "__segment").agg(*(add(h).cast("decimal(38,0)").alias(h) for h in costs.HALVES))
+    summed = cut.select(*ops.columns, "__segment", *(F.sum(n).over(within).alias(n) for n in names))
+    totals = cut.groupBy("entity_key", "__segment").agg(*(F.sum(n).alias(n) for n in names))
     ahead = W.partitionBy("entity_key").orderBy("__segment").rowsBetween(W.unboundedPreceding, -1)
-    carried = totals.select("entity_key", "__segment", *(F.coalesce(F.sum(h).over(ahead), F.lit(0)).cast("decimal(38,0)").alias(h) for h in costs.HALVES))
+    carried = totals.select("entity_key", "__segment", *(F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(n) for n in names))
     joined = summed.alias("s").join(carried.alias("c"), F.col("s.entity_key").eqNullSafe(F.col("c.entity_key")) & (F.col("s.__segment") == F.col("c.__segment")))
-    total = costs.carry_halves([(F.col(f"s.__{h}") + F.col(f"c.{h}")).cast("decimal(38,0)") for h in costs.HALVES])
+    total = costs.text_of_digits([(F.col(f"s.{n}") + F.col(f"c.{n}")).cast("decimal(38,0)") for n in names])
     return joined.select(*(F.col(f"s.`{c}`") for c in ops.columns), total.alias(name))
 
 

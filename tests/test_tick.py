@@ -158,3 +158,20 @@ def test_rows_of_no_stage_or_transaction_go_to_quarantine(spark, tmp_path, lost)
     rows = spark.createDataFrame([op("a", 1, "create", 1, "x", 9)], OPS + ", stage string").withColumn(lost, F.lit("unheard of") if lost == "stage" else F.lit(None).cast("bigint"))
     stored.tick(rows, 0)
     assert stored.bad.read().count() == 1 and stored.snapshot.read().count() == 0
+
+
+def test_lookups_read_the_buckets_of_their_keys(spark, tmp_path):
+    stored = ledger(spark, tmp_path / "ledger", buckets=50)
+    feed(spark, stored, 0, *(op(f"e{n}", n, "create", n, f"d{n}", 9) for n in range(40)), op("e3", 60, "update", 70, "new", 9), op("e4", 60, "update", 70, "other", 9, index=1))
+    keys = spark.createDataFrame([("e3",), ("e3",), ("e7",), ("none",), (None,)], "entity_key string")
+    entities = stored.get_entity(keys)
+    assert sorted((r["entity_key"], r["data"]) for r in entities.collect()) == [("e3", "new"), ("e7", "d7")]
+    assert len(entities.inputFiles()) <= 3 < len(stored.snapshot.read().inputFiles())
+    assert [(r["entity_key"], r["tx_hash"]) for r in stored.get_entity_history(keys).collect()] == [("e3", 3), ("e3", 60), ("e7", 7)]
+    at = spark.createDataFrame([(60, 1), (7, 0), (7, 1), (999, 0), (None, 0)], "tx_hash bigint, op_index bigint")
+    assert sorted((r["tx_hash"], r["entity_key"], r["operation"], r["data"]) for r in stored.get_operation(at).collect()) == [(7, "e7", "create", "d7"), (60, "e4", "update", "other")]
+    assert sorted((r["tx_hash"], r["prev_data"], r["data"]) for r in stored.get_entity_operation(at).collect()) == [(7, None, "d7"), (60, "d4", "other")]
+    # A reader that holds a commit goes on seeing it after the next.
+    feed(spark, stored, 1, op("e3", 61, "delete", 80))
+    status = lambda number: stored.get_entity(keys.filter("entity_key = 'e3'"), number).first()["status"]
+    assert (status(0), status(1)) == ("active", "deleted")
