@@ -122,7 +122,15 @@ def text_of_digits(digits: list[Column]) -> Column:
     def finish(acc):
         nines = F.aggregate(F.reverse(acc["out"]), F.array_repeat(zero, 9), shifted)
         text = F.array_join(F.transform(F.reverse(nines), lambda n: F.lpad(n.cast("string"), 9, "0")), "")
-        return F.when(acc["over"] > 0, str(TOP)).otherwise(plain(text))
+        # A pattern names the text once, where plain() would work it out twice.
+        long = F.regexp_replace(text, "^0+(?=.)", "")
+        digit = lambda i: acc["out"][i]
+        # Sums below 2**125, as nearly all are, fit one decimal.
+        small = (digit(3) < 2**29) & (digit(4) == 0) & (digit(5) == 0) & (digit(6) == 0) & (digit(7) == 0)
+        short = digit(0).cast("decimal(38,0)")
+        for i in (1, 2, 3):
+            short = short + (digit(i).cast("decimal(38,0)") * F.lit(str(base**i)).cast("decimal(38,0)")).cast("decimal(38,0)")
+        return F.when(acc["over"] > 0, str(TOP)).when(small, short.cast("decimal(38,0)").cast("string")).otherwise(long)
 
     return F.aggregate(F.array(*digits), F.struct(none.alias("out"), zero.alias("over")), carry, finish)
 
