@@ -77,7 +77,8 @@ def _running_blocks(x: Ledger) -> DataFrame:
 
 def _deep_page(x: Ledger) -> DataFrame:
     lines = bind.table(x.spark, x.dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    return ordering.Pages(lines, ["l_orderkey", "l_linenumber"]).page(50)
+    # Order and line number repeat: only with the other columns is the order total, up to equal rows.
+    return ordering.Pages(lines, ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]).page(50)
 
 
 def _wide_history(x: Ledger) -> DataFrame:
@@ -122,6 +123,6 @@ ORACLES = {
         "SELECT e.entity_key, e.tx_hash, e.expires_at_seconds, b.block_number AS running_block FROM (SELECT entity_key, tx_hash, block_seconds + (expires_at_block - block_number) * 2 AS expires_at_seconds FROM hist) e ASOF LEFT JOIN blocks b ON e.expires_at_seconds >= b.block_seconds",
         *sql.FOLD, sql.BLOCKS,
     ),
-    "paginate_stored": "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, (SELECT count(*) FROM lineitem) AS total_items, CAST(ceil((SELECT count(*) FROM lineitem) / 100) AS BIGINT) AS total_pages FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 100 OFFSET 4900",
+    "paginate_stored": "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, (SELECT count(*) FROM lineitem) AS total_items, CAST(ceil((SELECT count(*) FROM lineitem) / 100) AS BIGINT) AS total_pages FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity LIMIT 100 OFFSET 4900",
     "history_fold_wide": sql.query(f"SELECT {_WIDE_COLUMNS} FROM hist", *sql.FOLD),
 }
