@@ -1,11 +1,15 @@
 """Approximate nearest neighbours by adaptive dimension scan within probed lists.
 
-Vectors are normalised, rotated at random and dealt to the lists of the nearest centroids; rotation,
-centroids and the number of probed lists are fitted on a bounded sample (FIT_ROWS). Every row is indexed.
-Lists are cut into blocks, and the queries of a list into chunks, so that a hot list is many tasks of a
-bounded size. Within a block, partial distances over column blocks of the rotated vectors test whether a
-candidate can still be among the nearest found so far, and candidates that fail are given up early. What
-survives is scored on the original vectors in double precision.
+Vectors are normalised and dealt to lists in two levels: the nearest coarse centroid, then the nearest of the
+fine centroids that all coarse ones share, by what the coarse one leaves over. There are about as many lists as
+the root of the rows, at every size, though centroids, rotation and the number of probed lists are fitted on a
+bounded sample (FIT_ROWS): n lists need only the root of n centroids a level. Every row is indexed. Lists are
+cut into blocks, and the queries of a list into chunks, so that a hot list is many tasks of a bounded size.
+
+A query's nearest list is scanned first; the distance of its last place bounds the scan of the other lists.
+Within a block, tiles of growing size tighten the bound further, and partial distances over column blocks of
+the rotated vectors test whether a candidate can still be among the nearest: those that fail are given up
+early. What survives is scored on the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -20,84 +24,117 @@ from .common import Scratch
 
 FIT_ROWS = 8192  # rows of the sample that rotation, centroids and probes are fitted on
 BLOCK_ROWS, CHUNK_QUERIES = 4096, 1024
-COLUMN_BLOCK = 16
+COLUMN_BLOCK, FIRST_TILE = 16, 64
 EPSILON = 2.5  # width of the test: a larger value gives up fewer candidates
 COVERAGE = 0.97  # share of the sample's nearest neighbours that probed lists must hold
 
 
+def _centroids(points: np.ndarray, many: int, rng: np.random.Generator, on_sphere: bool) -> np.ndarray:
+    centres = points[rng.choice(len(points), many, replace=False)]
+    for _ in range(8):
+        owner = (2 * points @ centres.T - (centres * centres).sum(1)).argmax(1)
+        sums, held = np.zeros_like(centres), np.bincount(owner, minlength=many)[:, None]
+        np.add.at(sums, owner, points)
+        size = np.linalg.norm(sums, axis=1, keepdims=True) if on_sphere else held
+        centres = np.where((held > 0) & (size > 1e-12), sums / np.maximum(size, 1e-12), centres)
+    return centres
+
+
 class Index:
-    """What the sample decides: rotation, centroids, probes."""
+    """What the sample decides: rotation, two levels of centroids, probes."""
 
     def __init__(self, sample: np.ndarray, rows: int, nearest: int, seed: int = 7):
         rng = np.random.default_rng(seed)
         unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
         dim = sample.shape[1]
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-        lists = int(min(max(1, round(rows**0.5)), 1024, max(1, len(unit) // 8)))
-        centres = unit[rng.choice(len(unit), lists, replace=False)]
-        for _ in range(8):
-            owner = (unit @ centres.T).argmax(1)
-            sums = np.zeros_like(centres)
-            np.add.at(sums, owner, unit)
-            norms = np.linalg.norm(sums, axis=1, keepdims=True)
-            centres = np.where(norms > 1e-12, sums / np.maximum(norms, 1e-12), centres)
-        self.centres = centres
+        level = min(int(np.ceil(rows**0.25)), len(unit))  # the root of the rows, as a product of two levels
+        self.coarse = _centroids(unit, level, rng, True)
+        self.fine = _centroids(unit - self.coarse[(unit @ self.coarse.T).argmax(1)], level, rng, False)
+        self.lists = level * level
+        self.norms = (self.coarse**2).sum(1)[:, None] + 2 * self.coarse @ self.fine.T + (self.fine**2).sum(1)
         # Probes: how many lists, nearest first, hold COVERAGE of the sample's own nearest neighbours.
-        owner, tried = self.owner(unit), min(512, len(unit))
-        rank_of = np.argsort(np.argsort(-(unit[:tried] @ centres.T), axis=1, kind="stable"), axis=1)
-        close = unit[:tried] @ unit.T
-        close[np.arange(tried), np.arange(tried)] = -np.inf
-        best = np.argsort(-close, axis=1, kind="stable")[:, :nearest]
-        ranks = np.sort(np.take_along_axis(rank_of, owner[best], axis=1).ravel())
-        self.probes = int(ranks[min(len(ranks) - 1, int(np.ceil(COVERAGE * len(ranks))) - 1)]) + 1 if len(ranks) else 1
+        owner, tried, ranks = self.owner(unit), min(512, len(unit)), []
+        for i in range(tried):
+            close = unit @ unit[i]
+            close[i] = -np.inf
+            best = np.argsort(-close, kind="stable")[:nearest]
+            rank_of = np.empty(self.lists, np.int64)
+            rank_of[self.order(unit[i])] = np.arange(self.lists)
+            ranks += rank_of[owner[best]].tolist()
+        self.probes = int(np.sort(ranks)[min(len(ranks) - 1, int(np.ceil(COVERAGE * len(ranks))) - 1)]) + 1 if ranks else 1
 
     def owner(self, unit: np.ndarray) -> np.ndarray:
-        return (unit @ self.centres.T).argmax(1)
+        coarse = (unit @ self.coarse.T).argmax(1)
+        left = unit - self.coarse[coarse]
+        return coarse * len(self.fine) + (2 * left @ self.fine.T - (self.fine**2).sum(1)).argmax(1)
+
+    def order(self, unit: np.ndarray) -> np.ndarray:
+        """All lists, the one with the nearest centre first."""
+        far = self.norms - 2 * (self.coarse @ unit)[:, None] - 2 * (self.fine @ unit)
+        return np.argsort(far.ravel(), kind="stable")
+
+    def probed(self, unit: np.ndarray, counts: np.ndarray, least: int) -> np.ndarray:
+        """Lists that hold rows, nearest first: those of the first ``probes``, or more until they hold ``least`` rows."""
+        order = self.order(unit)
+        enough = int(np.searchsorted(np.cumsum(counts[order]), least)) + 1
+        order = order[: max(self.probes, enough)]
+        return order[counts[order] > 0]
 
-    def probed(self, unit: np.ndarray, counts: np.ndarray, least: int) -> list[np.ndarray]:
-        """Lists for each query, nearest first: ``probes`` of them, or more until they hold ``least`` rows."""
-        order = np.argsort(-(unit @ self.centres.T), axis=1, kind="stable")
-        held = np.cumsum(counts[order], axis=1)
-        return [row[: max(self.probes, int(np.searchsorted(h, least)) + 1)] for row, h in zip(order, held)]
 
+def scan_block(rotated: np.ndarray, query: np.ndarray, nearest: int, bound: float = np.inf, own: int | None = None) -> tuple[np.ndarray, int]:
+    """Places of the candidates that may be among the nearest, and how many column blocks were summed for it.
 
-def scan_block(rotated: np.ndarray, query: np.ndarray, nearest: int) -> np.ndarray:
-    """Places of the candidates that may be among the nearest: adaptive scan over column blocks."""
+    ``bound`` is a squared distance within which ``nearest`` rows are known to lie. Tiles double in size, and
+    each tightens the bound for those after it. The place ``own`` is the query's and takes no part.
+    """
     rows, dim = rotated.shape
-    seeds = min(rows, max(64, 4 * nearest))
-    exact = ((rotated[:seeds] - query) ** 2).sum(1)
-    bound = np.partition(exact, nearest - 1)[nearest - 1] if seeds >= nearest else np.inf
-    alive = np.arange(seeds, rows)
-    partial = np.zeros(len(alive))
-    for low in range(0, dim, COLUMN_BLOCK):
-        high = min(dim, low + COLUMN_BLOCK)
-        partial = partial + ((rotated[alive, low:high] - query[low:high]) ** 2).sum(1)
-        slack = 1.0 if high == dim else (1 + EPSILON / high**0.5) ** 2
-        keep = partial * (dim / high) <= bound * slack + 1e-9
-        alive, partial = alive[keep], partial[keep]
-    found, far = np.r_[np.arange(seeds), alive], np.r_[exact, partial]
-    if len(found) > nearest:
-        found = found[far <= np.partition(far, nearest - 1)[nearest - 1] + 1e-9]
-    return found
-
-
-def _search(nearest: int):
+    found, far, low, tile, work = np.empty(0, np.int64), np.empty(0), 0, max(FIRST_TILE, 4 * nearest), 0
+    while low < rows:
+        alive = np.arange(low, min(rows, low + tile))
+        if own is not None:
+            alive = alive[alive != own]
+        partial = np.zeros(len(alive))
+        for left in range(0, dim, COLUMN_BLOCK):
+            right = min(dim, left + COLUMN_BLOCK)
+            work += len(alive)
+            partial = partial + ((rotated[alive, left:right] - query[left:right]) ** 2).sum(1)
+            slack = 1.0 if right == dim else (1 + EPSILON / right**0.5) ** 2
+            keep = partial * (dim / right) <= bound * slack + 1e-9
+            alive, partial = alive[keep], partial[keep]
+        found, far = np.r_[found, alive], np.r_[far, partial]
+        if len(found) >= nearest:
+            bound = min(bound, np.partition(far, nearest - 1)[nearest - 1])
+            keep = far <= bound + 1e-9
+            found, far = found[keep], far[keep]
+        low, tile = low + tile, 2 * tile
+    return found, work
+
+
+def _load(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+
+
+def _search(index: Index, nearest: int):
     def run(candidates: pa.Table, queries: pa.Table) -> pa.Table:
-        out: dict = {"query_id": [], "vec_id": [], "score": []}
+        out: dict = {"query_id": [], "vec_id": [], "score": [], "far": []}
         if candidates.num_rows and queries.num_rows:
-            ids = candidates["vec_id"].to_numpy()
-            load = lambda column: np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
-            rotated, plain = load(candidates["rotated"]), load(candidates["vector"])
+            order = np.argsort(candidates["vec_id"].to_numpy())  # ids do not repeat
+            ids, plain = candidates["vec_id"].to_numpy()[order], _load(candidates["vector"])[order]
             norms = np.sqrt((plain * plain).sum(1))
-            for qid, qr, qv in zip(queries["vec_id"].to_pylist(), load(queries["rotated"]), load(queries["vector"])):
-                found = scan_block(rotated, qr, nearest + 1)
-                found = found[ids[found] != qid]
-                scores = (plain[found] * qv).sum(1) / (norms[found] * np.sqrt((qv * qv).sum()))
+            rotated = np.ascontiguousarray((plain / norms[:, None]) @ index.rotation)
+            for qid, qv, bound in zip(queries["vec_id"].to_pylist(), _load(queries["vector"]), queries["bound"].to_pylist()):
+                size, at = np.sqrt((qv * qv).sum()), int(np.searchsorted(ids, qid))
+                turned = (qv / size) @ index.rotation
+                own = at if at < len(ids) and ids[at] == qid else None
+                found, _ = scan_block(rotated, turned, nearest, np.inf if bound is None else bound, own)
+                scores = (plain[found] * qv).sum(1) / (norms[found] * size)
                 best = np.lexsort((ids[found], -scores))[:nearest]
                 out["query_id"] += [qid] * len(best)
                 out["vec_id"] += ids[found[best]].tolist()
                 out["score"] += scores[best].tolist()
-        return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
+                out["far"] += ((rotated[found[best]] - turned) ** 2).sum(1).tolist()
+        return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("far", pa.float64())]))
 
     return run
 
@@ -107,14 +144,15 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, nearest: int = 5, id
 
     Ties go to the smaller id; a query's own id is left out. Vectors that are null, zero, or hold null or
     non-finite components take no part, nor do rows without id or of another length than most. Fewer
-    candidates than ``nearest``: all of them. Of rows that repeat an id and a vector, one counts. No rows: no rows.
+    candidates than ``nearest``: all of them. Of rows that repeat an id, the one with the least vector counts.
+    No rows: no rows.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
     v = F.col("vector")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = rows.filter(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0)).filter(finite).dropDuplicates(["vec_id", "vector"])
-    rows = scratch.keep(rows, "rows")
+    rows = rows.filter(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0)).filter(finite)
+    rows = scratch.keep(rows.groupBy("vec_id").agg(F.min("vector").alias("vector")), "rows")
     sizes = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not sizes:
@@ -128,32 +166,43 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, nearest: int = 5, id
         for batch in batches:
             plain = np.array(batch.column("vector").to_pylist(), np.float64).reshape(batch.num_rows, dim)
             unit = plain / np.linalg.norm(plain, axis=1, keepdims=True)
-            rotated = np.ascontiguousarray(unit @ index.rotation)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), pa.array(index.owner(unit), pa.int32()), pa.array([x.tobytes() for x in rotated], pa.binary()), pa.array([x.tobytes() for x in plain], pa.binary())],
-                names=["vec_id", "list", "rotated", "vector"],
+                [batch.column("vec_id"), pa.array(index.owner(unit), pa.int32()), pa.array([x.tobytes() for x in plain], pa.binary())],
+                names=["vec_id", "list", "vector"],
             )
 
-    placed = scratch.keep(rows.mapInArrow(place, "vec_id long, list int, rotated binary, vector binary"), "index")
-    held = {r["list"]: r["n"] for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most 1024 lists
-    counts = np.array([held.get(i, 0) for i in range(len(index.centres))])
+    placed = scratch.keep(rows.mapInArrow(place, "vec_id long, list int, vector binary"), "index")
+    scratch.drop("rows")
+    # One row a list, of which there are about the root of the rows: a million at 10**12 rows.
+    held = {r["list"]: r["n"] for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    counts = np.zeros(index.lists, np.int64)
+    counts[list(held)] = list(held.values())
 
     def probe(batches):
         for batch in batches:
-            rotated = np.frombuffer(b"".join(batch.column("rotated").to_pylist()), np.float64).reshape(-1, dim)
-            lists = index.probed(rotated @ index.rotation.T, counts, nearest + 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tolist() for x in lists], pa.list_(pa.int32()))], names=[*batch.schema.names, "lists"])
-
-    asked = placed.filter(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "rotated", "vector").mapInArrow(probe, "vec_id long, rotated binary, vector binary, lists array<int>")
-    asked = scratch.keep(asked.select(F.explode("lists").alias("list"), "vec_id", "rotated", "vector"), "asked")
-    chunks = asked.groupBy("list").agg(F.ceil(F.count("*") / CHUNK_QUERIES).cast("int").alias("chunks"))
-    plan = spark.createDataFrame([(i, -(-n // BLOCK_ROWS)) for i, n in held.items()], "list int, blocks int").join(chunks, "list")
+            plain = _load(batch.column("vector"))
+            lists = [index.probed(x, counts, nearest + 1).tolist() for x in plain / np.linalg.norm(plain, axis=1, keepdims=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], names=[*batch.schema.names, "lists"])
+
+    asked = placed.filter(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "vector").mapInArrow(probe, "vec_id long, vector binary, lists array<int>")
+    asked = scratch.keep(asked.select("vec_id", "vector", F.posexplode("lists").alias("turn", "list")), "asked")
+    blocks = spark.createDataFrame([(i, -(-n // BLOCK_ROWS)) for i, n in held.items()], "list int, blocks int")
     deal = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(n))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
-    candidates = placed.join(F.broadcast(plan), "list").withColumn("block", deal("blocks", 1)).withColumn("chunk", upto("chunks"))
-    queries = asked.join(F.broadcast(plan), "list").withColumn("chunk", deal("chunks", 2)).withColumn("block", upto("blocks"))
     keys = ["list", "block", "chunk"]
-    found = candidates.drop("blocks", "chunks").groupBy(*keys).cogroup(queries.drop("blocks", "chunks").groupBy(*keys)).applyInArrow(_search(nearest), "query_id long, vec_id long, score double")
+
+    def scan(queries: DataFrame) -> DataFrame:
+        """query_id, vec_id, score, far: the nearest in each block of the lists asked for."""
+        chunks = queries.groupBy("list").agg(F.ceil(F.count("*") / CHUNK_QUERIES).cast("int").alias("chunks"))
+        plan = F.broadcast(blocks.join(chunks, "list"))
+        left = placed.join(plan, "list").withColumn("block", deal("blocks", 1)).withColumn("chunk", upto("chunks")).select(*keys, "vec_id", "vector")
+        right = queries.join(plan, "list").withColumn("chunk", deal("chunks", 2)).withColumn("block", upto("blocks")).select(*keys, "vec_id", "vector", "bound")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(index, nearest), "query_id long, vec_id long, score double, far double")
+
+    first = scratch.keep(scan(asked.filter("turn = 0").withColumn("bound", F.lit(None).cast("double"))), "first")
+    place_of = F.row_number().over(W.partitionBy("query_id").orderBy("far", "vec_id"))
+    bounds = first.withColumn("place", place_of).filter(F.col("place") == nearest).select(F.col("query_id").alias("vec_id"), F.col("far").alias("bound"))
+    others = scan(asked.filter("turn > 0").join(bounds, "vec_id", "left"))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= nearest)
+    ranked = first.unionByName(others).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= nearest)
     return ranked.select("query_id", "rank", "vec_id", "score")
