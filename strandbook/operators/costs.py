@@ -141,6 +141,16 @@ def event_cost(topic: Column, data: Column, created: bytes, updated: bytes, exte
 
 
 def apply_costs(ops: DataFrame, costs: DataFrame) -> DataFrame:
-    """Operations with costs (tx_hash, op_index, cost) set where there is one."""
-    told = costs.select("tx_hash", "op_index", F.col("cost").alias("__cost"))
+    """Operations with costs (tx_hash, op_index, cost) set where there is one; of several for an operation, the largest."""
+    told = costs.groupBy("tx_hash", "op_index").agg(F.max("cost").alias("__cost"))
     return ops.join(told, ["tx_hash", "op_index"], "left").withColumn("cost", F.coalesce("__cost", "cost")).drop("__cost")
+
+
+def repriced(ops: DataFrame, costs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(operations with their costs, entity keys to fold again, blocks whose statistics are dirty).
+
+    Only operations whose cost changes ask for work: a cost told twice, or told for no operation, affects nothing.
+    """
+    told = costs.filter("cost is not null").groupBy("tx_hash", "op_index").agg(F.max("cost").alias("__cost"))
+    changed = ops.join(told, ["tx_hash", "op_index"]).filter(~F.col("cost").eqNullSafe(F.col("__cost")))
+    return apply_costs(ops, costs), changed.select("entity_key").distinct(), changed.select("block_number").distinct()

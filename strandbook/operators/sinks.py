@@ -6,14 +6,18 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old with the rows of new in place of those with the same key; of rows of new that share a key, any one.
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: tuple[str, ...] = ()) -> DataFrame:
+    """old with the rows of new in place of those with the same key.
 
-    Columns that new lacks are null; the dirty flag of block statistics is cleared by the new row's own value.
+    Of rows of new that share a key, the one that is last by ``order`` and then by its other columns, so that reruns
+    agree. Columns that new lacks are null; the dirty flag of block statistics is cleared by the new row's own value.
     """
-    fresh = new.dropDuplicates(keys)
+    rest = [*order, *(c for c in new.columns if c not in keys and c not in order)]
+    last = new.groupBy(*keys).agg(F.max(F.struct(*(F.col(f"`{c}`") for c in rest))).alias("__last")) if rest else new.select(*keys).distinct()
+    fresh = last.select(*(F.col(f"`{c}`") if c in keys else F.col("__last")[c].alias(c) for c in new.columns))
     return old.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 

@@ -1,8 +1,8 @@
 """All queries of the ledger library and their SQL."""
 
-from .plans import catalog, raw, sql, stored
+from .plans import catalog, queues, raw, sql, stored
 
-QUERIES = catalog.QUERIES | raw.QUERIES | stored.QUERIES
-ORACLES = sql.ORACLES | raw.ORACLES | stored.ORACLES
+QUERIES = catalog.QUERIES | raw.QUERIES | stored.QUERIES | queues.QUERIES
+ORACLES = sql.ORACLES | raw.ORACLES | stored.ORACLES | queues.ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
