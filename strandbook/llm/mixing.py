@@ -8,14 +8,17 @@ multiplier per constraint; Newton steps on it need only sums over all documents,
 map-side combining. The solution tilts documents exponentially: r = min(exp(m0 + m1 * x), LIMIT).
 
 Rates become whole copies: everyone gets floor(r), and those whose hash, divided by what is left of their rate,
-falls below a source's threshold get one more. Thresholds are found on all documents by refining a histogram, so
-that the words taken come as near to the target as half a document allows. No rank, sort or group of documents
-is needed, so a source with most of the rows is no burden. One row per source reaches the driver.
+falls below a source's threshold get one more. Thresholds are found on all documents by refining a histogram, and
+leave a gap that is smaller than the next document; up to TURNS single documents then gain or lose their extra copy, the
+one that leaves the least gap at a time (the best of each of CLASSES classes of hashes are weighed with all their repetitions).
+No rank, sort or group of documents is needed, so a source with most of the rows is no burden. One row per source
+reaches the driver.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +29,8 @@ from .common import SPACE, Scratch, checked_broadcast, row_key, unused
 WEIGHTS = (5, 2, 1)
 LIMIT = 3  # a source's target, and a document's copies, are at most so many times what is there
 BINS, LEVELS = 1024, 3  # refinement of the hash threshold: BINS ** LEVELS steps
+CLASSES = 64  # candidates a source has for closing the gap that its threshold leaves
+TURNS = 3  # of closing gaps by single documents
 SPREAD = 4  # hashes divided by rates are binned up to here
 SOFTNESS = 0.05  # how much balance may be missed: a multiplier m1 leaves the mean SOFTNESS * m1 deviations off
 NEWTON_STEPS, TOLERANCE = 40, 1e-9
@@ -106,6 +111,9 @@ def solve_rates(sized: DataFrame, targets: DataFrame, features: tuple[str, ...]
             worst = max(worst, max(abs(g) for g in gradient) / wanted[s][0])
         if worst < TOLERANCE:
             break
+    else:
+        if features and open_:
+            warnings.warn(f"rates are not balanced after {NEWTON_STEPS} steps: off by {worst:.2g} of a target", stacklevel=2)
     return spark.createDataFrame([(s, *lam[s]) for s in live], schema)
 
 
@@ -118,7 +126,7 @@ def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
 
 
 def _thresholds(parted: DataFrame, goals: DataFrame, scratch: Scratch) -> DataFrame:
-    """(source, cut): documents with v below the cut get one more copy; parted has (source, size, v), goals (source, goal).
+    """(source, cut, gap): documents with v below the cut get one more copy, which leaves the gap; parted has (source, size, v), goals (source, goal).
 
     Each level sums the words of one range of each source into BINS cells, and goes on in the cell that holds the goal.
     """
@@ -132,12 +140,41 @@ def _thresholds(parted: DataFrame, goals: DataFrame, scratch: Scratch) -> DataFr
         upto = F.sum("n").over(W.partitionBy("source").orderBy("cell"))
         crossed = cells.withColumn("upto", upto).filter(F.col("upto") > F.col("left")).groupBy(F.col("source").alias("of")).agg(F.min_by(F.struct("cell", "upto", "n"), "cell").alias("x"))
         rest = F.col("left") - (F.col("x.upto") - F.col("x.n"))
-        # The last cell comes nearer to the goal with its words than without; without a crossing everything is taken.
-        beyond = F.when(F.col("x.n") - rest <= rest, width).otherwise(0) if level == LEVELS - 1 else F.lit(0)
-        low = F.when(F.col("x").isNull(), scale).otherwise(F.col("low") + F.col("x.cell") * width + beyond).cast("long")
+        # Without a crossing everything is taken.
+        low = F.when(F.col("x").isNull(), scale).otherwise(F.col("low") + F.col("x.cell") * width).cast("long")
         at = at.join(crossed, F.col("source").eqNullSafe(F.col("of")), "left").select("source", low.alias("low"), F.when(F.col("x").isNull(), 0.0).otherwise(rest).cast("double").alias("left"))
         at = scratch.keep(at, f"cut-{level}")
-    return at.select("source", F.col("low").alias("cut"))
+    return at.select("source", F.col("low").alias("cut"), F.col("left").alias("gap"))
+
+
+def _gaps_closed(rated: DataFrame, cuts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(source, row_key, more): documents that get one copy more or less than their cut says, as that brings their source nearer.
+
+    In each of TURNS, a source whose words are too few gives one more document a copy, and one whose words are too many
+    takes one back: the document that leaves the least gap.
+    """
+    state, done = cuts, []
+    for turn in range(TURNS):
+        told = checked_broadcast(state.withColumnRenamed("source", "of"), 48)
+        pool = rated.filter("v is not null").join(told, F.col("source").eqNullSafe(F.col("of")))
+        for found in done:
+            picked = checked_broadcast(found.select(F.col("source").alias("by"), F.col("row_key").alias("by_key")), 56)
+            pool = pool.join(picked, F.col("source").eqNullSafe(F.col("by")) & (F.col("row_key") == F.col("by_key")), "left_anti")
+        off = lambda size: F.abs(F.abs(F.col("gap")) - F.col(size))
+        pool = pool.filter(((F.col("v") < F.col("cut")) == (F.col("gap") < 0)) & (off("size") < F.abs(F.col("gap"))))
+        some = pool.groupBy("source", F.pmod("v", F.lit(CLASSES)).alias("class")).agg(F.min(F.struct(off("size").alias("off"), "v", "row_key", "gap")).alias("x"))
+        some = scratch.keep(some.select(F.col("source").alias("of"), F.col("x.row_key").alias("of_key"), F.col("x.gap").alias("gap")), f"some-{turn}")
+        same = F.col("source").eqNullSafe(F.col("of")) & (F.col("row_key") == F.col("of_key"))
+        whole = rated.join(checked_broadcast(some, 80), same).groupBy("source", "row_key", "gap").agg(F.sum("size").alias("n"))
+        best = whole.filter(off("n") < F.abs(F.col("gap"))).groupBy("source").agg(F.min(F.struct(off("n").alias("off"), "row_key", "n", "gap")).alias("x"))
+        found = scratch.keep(best.select("source", F.col("x.row_key").alias("row_key"), F.signum("x.gap").cast("int").alias("more"), F.col("x.n").alias("n")), f"turn-{turn}")
+        done.append(found)
+        moved = found.select(F.col("source").alias("of"), (F.col("more") * F.col("n")).alias("moved"))
+        state = state.join(checked_broadcast(moved, 48), F.col("source").eqNullSafe(F.col("of")), "left").select("source", "cut", (F.col("gap") - F.coalesce("moved", F.lit(0))).alias("gap"))
+    out = done[0]
+    for found in done[1:]:
+        out = out.unionByName(found)
+    return out.drop("n")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
@@ -169,10 +206,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     rated = rated.withColumn("v", F.when(F.col("part") > 1e-9, F.least(place, F.lit(scale - 1))))
     rated = scratch.keep(rated.select("doc_id", "row_key", "source", "size", "source_size", "target", "rate", "whole", "v"), "rated")
     left = rated.groupBy("source").agg(F.greatest(F.max("target") - F.sum(F.col("whole") * F.col("size")), F.lit(0.0)).alias("goal"))
-    cuts = checked_broadcast(_thresholds(rated.filter("v is not null").select("source", "size", "v"), left, scratch).withColumnRenamed("source", "of"), 40)
+    cuts = _thresholds(rated.filter("v is not null").select("source", "size", "v"), left, scratch)
+    closed = _gaps_closed(rated, cuts, scratch).select(F.col("source").alias("by"), F.col("row_key").alias("by_key"), "more")
     scratch.drop("sized")
-    copies = F.when(F.col("size") == 0, 0).otherwise(F.least(F.col("whole") + F.when(F.col("v") < F.col("cut"), 1).otherwise(0), F.lit(limit)))
-    out = rated.join(cuts, F.col("source").eqNullSafe(F.col("of"))).withColumn("copies", copies)
+    told = checked_broadcast(cuts.withColumnRenamed("source", "of"), 48)
+    out = rated.join(told, F.col("source").eqNullSafe(F.col("of")))
+    out = out.join(checked_broadcast(closed, 56), F.col("source").eqNullSafe(F.col("by")) & (F.col("row_key") == F.col("by_key")), "left")
+    extra = F.when(F.col("v") < F.col("cut"), 1).otherwise(0) + F.coalesce("more", F.lit(0))
+    out = out.withColumn("copies", F.when(F.col("size") == 0, 0).otherwise(F.least(F.col("whole") + extra, F.lit(limit))))
     return out.select("doc_id", "row_key", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
