@@ -24,7 +24,7 @@ from .common import Scratch
 
 FIT_ROWS = 8192  # rows of the sample that rotation, centroids and probes are fitted on
 BLOCK_ROWS, CHUNK_QUERIES = 4096, 1024
-COLUMN_BLOCK, FIRST_TILE = 16, 64
+COLUMN_BLOCK, FIRST_TILE, QUERIES_AT_ONCE = 16, 64, 64
 EPSILON = 2.5  # width of the test: a larger value gives up fewer candidates
 COVERAGE = 0.97  # share of the sample's nearest neighbours that probed lists must hold
 
@@ -82,33 +82,50 @@ class Index:
         return order[counts[order] > 0]
 
 
-def scan_block(rotated: np.ndarray, query: np.ndarray, nearest: int, bound: float = np.inf, own: int | None = None) -> tuple[np.ndarray, int]:
-    """Places of the candidates that may be among the nearest, and how many column blocks were summed for it.
+def scan_block(rotated: np.ndarray, queries: np.ndarray, nearest: int, bounds: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(query, place) of the candidates that may be among a query's nearest, and how many partial distances were summed for it.
 
-    ``bound`` is a squared distance within which ``nearest`` rows are known to lie. Tiles double in size, and
-    each tightens the bound for those after it. The place ``own`` is the query's and takes no part.
+    ``bounds`` are squared distances within which ``nearest`` rows of each query are known to lie, or infinite. Tiles double
+    in size, and each tightens the bounds for those after it. The place ``own`` (-1: none) is the query's and takes no part.
     """
     rows, dim = rotated.shape
-    found, far, low, tile, work = np.empty(0, np.int64), np.empty(0), 0, max(FIRST_TILE, 4 * nearest), 0
+    bounds, low, work = bounds.copy(), 0, 0
+    asked, found, far = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    tile = max(FIRST_TILE, 4 * nearest) * (1 if np.isinf(bounds).any() else 8)
     while low < rows:
-        alive = np.arange(low, min(rows, low + tile))
-        if own is not None:
-            alive = alive[alive != own]
-        partial = np.zeros(len(alive))
-        for left in range(0, dim, COLUMN_BLOCK):
-            right = min(dim, left + COLUMN_BLOCK)
-            work += len(alive)
-            partial = partial + ((rotated[alive, left:right] - query[left:right]) ** 2).sum(1)
-            slack = 1.0 if right == dim else (1 + EPSILON / right**0.5) ** 2
-            keep = partial * (dim / right) <= bound * slack + 1e-9
-            alive, partial = alive[keep], partial[keep]
-        found, far = np.r_[found, alive], np.r_[far, partial]
-        if len(found) >= nearest:
-            bound = min(bound, np.partition(far, nearest - 1)[nearest - 1])
-            keep = far <= bound + 1e-9
-            found, far = found[keep], far[keep]
-        low, tile = low + tile, 2 * tile
-    return found, work
+        high = min(rows, low + tile)
+        here, there = queries[:, :COLUMN_BLOCK], rotated[low:high, :COLUMN_BLOCK]
+        near = (here * here).sum(1)[:, None] + (there * there).sum(1) - 2 * here @ there.T
+        inside = np.flatnonzero((own >= low) & (own < high))
+        near[inside, own[inside] - low] = np.inf
+        q, r = np.nonzero(near * (dim / min(dim, COLUMN_BLOCK)) <= (bounds * _slack(COLUMN_BLOCK, dim) + 1e-9)[:, None])
+        partial, r, work = near[q, r], r + low, work + near.size
+        if np.isinf(bounds).any():
+            q, r, partial = q[np.isfinite(partial)], r[np.isfinite(partial)], partial[np.isfinite(partial)]
+        for left in range(COLUMN_BLOCK, dim, COLUMN_BLOCK):
+            right, work = min(dim, left + COLUMN_BLOCK), work + len(q)
+            partial = partial + ((rotated[r, left:right] - queries[q, left:right]) ** 2).sum(1)
+            keep = partial * (dim / right) <= bounds[q] * _slack(right, dim) + 1e-9
+            q, r, partial = q[keep], r[keep], partial[keep]
+        asked, found, far = np.r_[asked, q], np.r_[found, r], np.r_[far, partial]
+        order = np.lexsort((far, asked))
+        asked, found, far = asked[order], found[order], far[order]
+        last = _places(asked) == nearest - 1
+        bounds[asked[last]] = np.minimum(bounds[asked[last]], far[last])
+        keep = far <= bounds[asked] + 1e-9
+        asked, found, far = asked[keep], found[keep], far[keep]
+        low, tile = high, min(2 * tile, BLOCK_ROWS)
+    return asked, found, work
+
+
+def _slack(right: int, dim: int) -> float:
+    """By how much a distance over the first columns may exceed its share of the bound."""
+    return 1.0 if right >= dim else (1 + EPSILON / right**0.5) ** 2
+
+
+def _places(groups: np.ndarray) -> np.ndarray:
+    """The place of each element within its run of equal values, of sorted values."""
+    return np.arange(len(groups)) - np.searchsorted(groups, groups)
 
 
 def _load(column) -> np.ndarray:
@@ -123,17 +140,29 @@ def _search(index: Index, nearest: int):
             ids, plain = candidates["vec_id"].to_numpy()[order], _load(candidates["vector"])[order]
             norms = np.sqrt((plain * plain).sum(1))
             rotated = np.ascontiguousarray((plain / norms[:, None]) @ index.rotation)
-            for qid, qv, bound in zip(queries["vec_id"].to_pylist(), _load(queries["vector"]), queries["bound"].to_pylist()):
-                size, at = np.sqrt((qv * qv).sum()), int(np.searchsorted(ids, qid))
-                turned = (qv / size) @ index.rotation
-                own = at if at < len(ids) and ids[at] == qid else None
-                found, _ = scan_block(rotated, turned, nearest, np.inf if bound is None else bound, own)
-                scores = (plain[found] * qv).sum(1) / (norms[found] * size)
-                best = np.lexsort((ids[found], -scores))[:nearest]
-                out["query_id"] += [qid] * len(best)
-                out["vec_id"] += ids[found[best]].tolist()
-                out["score"] += scores[best].tolist()
-                out["far"] += ((rotated[found[best]] - turned) ** 2).sum(1).tolist()
+            of, bounds = queries["vec_id"].to_numpy(), np.array([np.inf if x is None else x for x in queries["bound"].to_pylist()])
+            wanted = _load(queries["vector"])
+            sizes = np.sqrt((wanted * wanted).sum(1))
+            turned = (wanted / sizes[:, None]) @ index.rotation
+            at = np.minimum(np.searchsorted(ids, of), len(ids) - 1)
+            own = np.where(ids[at] == of, at, -1)
+            for low in range(0, len(of), QUERIES_AT_ONCE):
+                some = slice(low, low + QUERIES_AT_ONCE)
+                asked, found, _ = scan_block(rotated, turned[some], nearest, bounds[some], own[some])
+                asked = asked + low
+                scores, far = np.empty(len(asked)), np.empty(len(asked))
+                slice_of = max(1, (1 << 20) // plain.shape[1])  # many ties may be left: their vectors are taken in slices
+                for i in range(0, len(asked), slice_of):
+                    q, r = asked[i : i + slice_of], found[i : i + slice_of]
+                    scores[i : i + slice_of] = (plain[r] * wanted[q]).sum(1) / (norms[r] * sizes[q])
+                    far[i : i + slice_of] = ((rotated[r] - turned[q]) ** 2).sum(1)
+                order = np.lexsort((ids[found], -scores, asked))
+                best = order[_places(asked[order]) < nearest]
+                out["query_id"].append(of[asked[best]])
+                out["vec_id"].append(ids[found[best]])
+                out["score"].append(scores[best])
+                out["far"].append(far[best])
+        out = {k: np.concatenate(v) if v else [] for k, v in out.items()}
         return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("far", pa.float64())]))
 
     return run
