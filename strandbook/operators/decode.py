@@ -27,6 +27,7 @@ OPERATIONS = pa.list_(pa.struct([
 ]))
 ZERO_WORD = bytes(32)
 UNPACKED = 64 << 20  # bytes that one payload may unpack to
+PIECE = 64 << 10  # bytes that are read of it at first
 
 
 def _key(item: list | bytes, size: int = 32) -> bytes:
@@ -68,8 +69,11 @@ def read_storage_tx(payload: bytes) -> list[dict]:
 
 
 def _unpacked(payload: bytes, codec: str) -> bytes:
+    first = min(PIECE, UNPACKED + 1)
     with pa.CompressedInputStream(pa.BufferReader(payload), codec) as stream:
-        out = stream.read(UNPACKED + 1)
+        out = stream.read(first)
+        if len(out) == first:  # a read sets aside all the bytes it is asked for, so that few payloads should ask for the most
+            out += stream.read(UNPACKED + 1 - first)
     if len(out) > UNPACKED:
         raise ValueError(f"unpacks to more than {UNPACKED} bytes")
     return out
@@ -104,18 +108,25 @@ def decode_storage_tx(transactions: DataFrame, input_col: str = "input", compres
 
 
 def explode_operations(decoded: DataFrame) -> DataFrame:
-    """One row per operation of decoded transactions (tx_hash and any columns): op_index counts across all kinds; creates get their keys."""
+    """One row per operation of decoded transactions (tx_hash and any columns): op_index counts across all kinds; creates get their keys.
+
+    One pass: payloads are decoded once for all kinds, and only messages of creates are hashed.
+    """
     kept = [c for c in decoded.columns if c not in ("operations", "error", "input")]
     rows = decoded.filter("operations is not null").select(*kept, F.posexplode("operations").alias("op_index", "op"))
     rows = rows.select(*kept, F.col("op_index").cast("bigint").alias("op_index"), "op.*")
     made = F.col("operation") == "create"
-    keyed = rows.filter(made).withColumn("entity_key", entity_key("tx_hash", "data", "op_index"))
-    return keyed.unionByName(rows.filter(~made))
+    key = entity_key(F.when(made, F.col("tx_hash")), "data", "op_index")
+    return rows.withColumn("entity_key", F.when(made, key).otherwise(F.col("entity_key")))
 
 
-def explode_attributes(operations: DataFrame, kind: str = "string") -> DataFrame:
-    """entity_key, tx_hash, op_index, key, value: one row per attribute of a kind (string or numeric)."""
-    return operations.select("entity_key", "tx_hash", "op_index", F.inline(f"{kind}_attributes"))
+def explode_attributes(operations: DataFrame, kind: str | None = "string") -> DataFrame:
+    """entity_key, tx_hash, op_index, key, value: one row per attribute of a kind (string or numeric), in one pass of both with values as text for None."""
+    if kind:
+        return operations.select("entity_key", "tx_hash", "op_index", F.inline(f"{kind}_attributes"))
+    as_text = F.transform("numeric_attributes", lambda a: F.struct(a["key"].alias("key"), a["value"].cast("string").alias("value")))
+    both = F.concat(*(F.coalesce(held, F.array()) for held in (F.col("string_attributes"), as_text)))
+    return operations.select("entity_key", "tx_hash", "op_index", F.inline(both))
 
 
 def quarantined(decoded: DataFrame) -> DataFrame:

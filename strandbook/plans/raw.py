@@ -79,9 +79,7 @@ def _operations(x: Ledger) -> DataFrame:
 
 
 def _attributes(x: Ledger) -> DataFrame:
-    rows = operations(x)
-    strings = decode.explode_attributes(rows).select(_number("tx_hash").alias("tx_no"), "op_index", "key", "value")
-    return strings.unionByName(decode.explode_attributes(rows, "numeric").select(_number("tx_hash").alias("tx_no"), "op_index", "key", F.col("value").cast("string").alias("value")))
+    return decode.explode_attributes(operations(x), None).select(_number("tx_hash").alias("tx_no"), "op_index", "key", "value")
 
 
 def _quarantine(x: Ledger) -> DataFrame:
